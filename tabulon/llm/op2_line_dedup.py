@@ -12,11 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, hash128, lower_ascii
+from .common import SPACES, hash128, lower_ascii, written
 
 MIN_KEY = 10
-#: Share of the documents looked at for hot lines; a line in over HOT_SHARE of all sampled lines is salted.
-HOT_SAMPLE, HOT_SHARE, SALTS = 0.01, 0.002, 64
+#: One document in HOT_ONE_IN is looked at for hot lines; a line in over HOT_SHARE of their lines is salted.
+HOT_ONE_IN, HOT_SHARE, SALTS = 50, 0.002, 64
 NO_ID = (1 << 63) - 1
 
 
@@ -44,8 +44,9 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     and a smaller id holds it too; lines of the smallest id stay, repeats included.  A null text is
     one empty line.  Rows with the same id count as one holder; a null id counts as the largest.
     """
-    rec = _records(docs, id_col, text_col, min_key)
-    seen = _records(docs.sample(HOT_SAMPLE, 17), id_col, text_col, min_key).groupBy("h1").count()
+    # Written once: range partitioning samples its input, and the text must not be split again for that.
+    rec = written(_records(docs, id_col, text_col, min_key), "lines")
+    seen = rec.filter(F.pmod(F.xxhash64("d"), F.lit(HOT_ONE_IN)) == 0).groupBy("h1").count()
     # At most 1 / HOT_SHARE hashes can hold such a share, so what reaches the driver is bounded.
     all_seen = seen.agg(F.sum("count")).first()[0] or 0
     hot = [r.h1 for r in seen.filter(F.col("count") > max(2, HOT_SHARE * all_seen)).select("h1").collect()]
