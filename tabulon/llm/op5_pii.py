@@ -70,6 +70,10 @@ def spans_of(text: Column, kind: str) -> Column:
     return F.when(gate, F.filter(all_, lambda s: _valid(kind, s["value"]))).otherwise(none)
 
 
+def _is_kind(kind: str):
+    return lambda s: s["kind"] == kind
+
+
 def digest(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
@@ -134,5 +138,5 @@ def sanitise(found: DataFrame) -> DataFrame:
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    counts = [F.size(F.filter("base", _is_kind(k))).cast("long").alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(digest(F.col("base")).cast("binary"), 256).alias("base_sha256"), digest(F.concat("base", "terms")).alias("spans"))
