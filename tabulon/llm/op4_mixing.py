@@ -73,6 +73,12 @@ def _rates(hist: DataFrame, goals: DataFrame, cap: float) -> DataFrame:
     return state
 
 
+def _missed(part: DataFrame) -> DataFrame:
+    """Adds `miss`: words that the source lacks (over 0) or has too many of."""
+    left = part.groupBy("source").agg((F.first("target") - F.sum(F.col("size") * F.col("copies"))).alias("miss")).withColumnRenamed("source", "s2")
+    return part.join(left, F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
+
+
 def mix_copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, rate, copies.
 
@@ -91,18 +97,27 @@ def mix_copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int =
     rec = written(rec, "rated")
     part = rec.groupBy("source", "size", "chunk").agg(F.count("*").alias("m"), F.first("rate").alias("rate"), F.first("target").alias("target"))
     run = Window.partitionBy("source").orderBy(F.desc("size"), "chunk").rowsBetween(Window.unboundedPreceding, 0)
-    part = part.withColumn("c", F.sum(F.col("m") * F.col("rate")).over(run)).withColumn("base", F.floor("rate").cast("long"))
+    part = part.withColumn("c", F.sum(F.col("m") * F.col("rate")).over(run))
     up = F.floor(F.col("c") + 0.5) - F.floor(F.col("c") - F.col("m") * F.col("rate") + 0.5)
-    part = part.withColumn("extra", F.greatest(F.lit(0), F.least(F.col("m"), up - F.col("m") * F.col("base"))).cast("long"))
-    part = written(part.select("source", "size", "chunk", "m", "base", "extra", "target"), "quotas0")
-    for k in range(FIXES):  # each moves one copy of the best-fitting size in each source
-        left = part.groupBy("source").agg((F.first("target") - F.sum(F.col("size") * (F.col("m") * F.col("base") + F.col("extra")))).alias("miss")).withColumnRenamed("source", "s2")
-        both = part.join(left, F.col("source").eqNullSafe(F.col("s2")))
-        can = F.when(F.col("miss") > 0, (F.col("extra") < F.col("m")) & (F.col("base") < cap)).otherwise(F.col("extra") > 0) & (F.col("size") > 0) & (F.abs(F.col("size") - F.abs("miss")) < F.abs("miss"))
+    low, high = F.col("m") * F.floor("rate"), F.col("m") * F.ceil("rate")
+    part = part.withColumn("low", low.cast("long")).withColumn("high", high.cast("long")).withColumn("copies", F.greatest("low", F.least("high", up)).cast("long"))
+    part = written(part.select("source", "size", "chunk", "m", "low", "high", "copies", "target"), "quotas")
+    # What is missed, longest documents first, as far as each stays between the floor and the ceiling of its rate.
+    both = _missed(part).withColumn("want", F.abs("miss"))
+    slack = F.when(F.col("miss") > 0, F.col("high") - F.col("copies")).otherwise(F.col("copies") - F.col("low"))
+    both = both.withColumn("slack", F.when((F.col("size") > 0) & (F.col("size") <= F.col("want")), slack).otherwise(F.lit(0)))
+    ahead = F.coalesce(F.sum(F.col("slack") * F.col("size")).over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    some = F.least(F.col("slack"), F.floor((F.col("want") - ahead) / F.greatest(F.col("size"), F.lit(1))))
+    moved = F.col("copies") + F.signum("miss").cast("long") * F.greatest(some, F.lit(0))
+    part = written(both.select("source", "size", "chunk", "m", "target", moved.cast("long").alias("copies")), "spread")
+    for k in range(FIXES):  # then single copies of the best-fitting size in each source
+        both = _missed(part)
+        can = F.when(F.col("miss") > 0, F.col("copies") < cap * F.col("m")).otherwise(F.col("copies") > 0)
+        can = can & (F.col("size") > 0) & (F.abs(F.col("size") - F.abs("miss")) < F.abs("miss"))
         best = both.filter(can).groupBy("source").agg(F.min_by(F.struct("size", "chunk", F.signum("miss").cast("long").alias("by")), F.struct(F.abs(F.col("size") - F.abs("miss")), "size", "chunk")).alias("p"))
         part = part.alias("l").join(best.alias("r"), _same("source", "source") & (F.col("l.size") == F.col("p.size")) & (F.col("l.chunk") == F.col("p.chunk")), "left")
-        part = part.select("l.source", "l.size", "l.chunk", "l.m", "l.base", (F.col("l.extra") + F.coalesce("p.by", F.lit(0))).alias("extra"), "l.target")
-        part = written(part, f"quotas{k + 1}")
+        part = written(part.select("l.source", "l.size", "l.chunk", "l.m", (F.col("l.copies") + F.coalesce("p.by", F.lit(0))).alias("copies"), "l.target"), f"fixed{k}")
+    part = part.withColumn("base", F.floor(F.col("copies") / F.col("m"))).withColumn("extra", F.col("copies") - F.col("base") * F.col("m"))
     rec = rec.withColumn("k", F.row_number().over(Window.partitionBy("source", "size", "chunk").orderBy(F.xxhash64(F.lit(5), F.col("doc_id")), "doc_id")))
     rec = rec.alias("l").join(part.alias("r"), _same("source", "source") & (F.col("l.size") == F.col("r.size")) & (F.col("l.chunk") == F.col("r.chunk")))
     copies = F.col("base") + F.when(F.col("k") <= F.col("extra"), 1).otherwise(0)

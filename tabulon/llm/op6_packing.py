@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, written
 
-ROOM, CELL, MOST_IN_PATTERN = 2048, 32, 4
+ROOM, CELL, MOST_IN_PATTERN = 2048, 64, 3
 #: Words whose tokens a worker remembers, at most.
 REMEMBERED = 400_000
 CHUNK = 4096
@@ -202,7 +202,7 @@ def plan_sequences(hist: dict[int, int], room: int = ROOM, cell: int = CELL) ->
         for n, c in left.items():
             b[min(cells, -(-n // cell)) - 1] += c
         x = np.floor(nnls(a, b) + 1e-9).astype(np.int64)
-        for j in np.argsort([-len(forms[j]) for j in range(len(forms))], kind="stable"):
+        for j in sorted(range(len(forms)), key=lambda k: forms[k], reverse=True):  # the longest pieces first, so that short ones are left to fill
             todo = int(x[j])
             while todo > 0:
                 lengths: list[int] = []
