@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -217,8 +218,8 @@ def extract_file_text(spark: SparkSession, path: str) -> DataFrame:
 class Dataset:
     """A chunked N-D array as Parquet below a folder: (c1, ..., cn, i1, ..., in, v) and a manifest row of shape, chunk and version.
 
-    Each write makes a new version folder and then one manifest row; a writer that started from an
-    older version fails, so commits are optimistic.
+    Each write makes a data folder of its own and then one manifest row that names it; a writer that
+    started from an older version fails, so commits are optimistic.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -249,9 +250,11 @@ class Dataset:
         own = cells
         for k in range(n):
             own = own.withColumn(f"c{k + 1}", F.floor((F.col(f"i{k + 1}") - 1) / m["chunk"][k]).cast("int"))
-        version = seen + 1
-        own.withColumn("version", F.lit(version)).write.mode("error").partitionBy(*[f"c{k + 1}" for k in range(n)]).parquet(f"{self.path}/data/v{version}")
-        self._commit(version, {"shape": m["shape"], "chunk": m["chunk"]}, seen)
+        if m["version"] != seen:
+            raise RuntimeError("the dataset changed since it was read")
+        version, folder = seen + 1, uuid.uuid4().hex
+        own.withColumn("version", F.lit(version)).write.mode("error").partitionBy(*[f"c{k + 1}" for k in range(n)]).parquet(f"{self.path}/data/{folder}")
+        self._commit(version, {"shape": m["shape"], "chunk": m["chunk"], "folder": folder}, seen)
         return version
 
     def read(self, *slices: tuple[int, int]) -> DataFrame:
@@ -259,7 +262,7 @@ class Dataset:
         m = self.manifest()
         n = len(m["shape"])
         keys = [f"i{k + 1}" for k in range(n)]
-        paths = [f"{self.path}/data/v{v}" for v in range(1, m["version"] + 1)]
+        paths = [f"{self.path}/data/{x['folder']}" for x in self._manifests() if "folder" in x]
         if not paths:
             return self.spark.createDataFrame([], ", ".join(f"{k} long" for k in keys) + ", v double")
         parts = []
