@@ -918,3 +918,49 @@ def json_props(spark, sf):
 @query("c_jsonencode", "select '{\"n_name\":\"' || n_name || '\"}' as j from nation")
 def jsonencode(spark, sf):
     return read(spark, sf, "nation").select(st.jsonencode(F.struct("n_name")).alias("j"))
+
+
+@query("n_primes", "select n as p from range(2, 501) t(n) where not exists (select 1 from range(2, 23) q(k) where k < n and n % k = 0)")
+def primes(spark, sf):
+    from tabulon.operators import numeric
+
+    return numeric.primes(spark, 500)
+
+
+@query("n_spline_ppval", "select p_partkey, round(pow(p_size / 10.0::double, 3), 6) + 0.0 as y from part")
+def spline_ppval(spark, sf):
+    from tabulon.operators import numeric
+
+    # A cubic is its own not-a-knot spline.
+    b, c = numeric.spline([0, 1, 2, 3, 4, 5], [0, 1, 8, 27, 64, 125])
+    return rounded(read(spark, sf, "part").select("p_partkey", numeric.ppval(b, c, F.col("p_size") / 10).alias("y")), 6)
+
+
+@query("n_interp2", "select p_partkey, round((p_size / 10.0::double) * (p_partkey % 37 / 10.0::double), 6) + 0.0 as v from part where p_size <= 50")
+def interp2(spark, sf):
+    from tabulon.operators import numeric
+
+    grid = spark.range(6).select(F.col("id").alias("x")).crossJoin(spark.range(6).select(F.col("id").alias("y"))).withColumn("v", F.col("x") * F.col("y"))
+    q = read(spark, sf, "part").filter("p_size <= 50").select("p_partkey", (F.col("p_size") / 10).alias("x"), (F.col("p_partkey") % 37 / 10).alias("y"))
+    return rounded(numeric.interp2(grid, q).select("p_partkey", "v"), 6)
+
+
+@query("n_peaks", "select count(*) as n from range(0, 49) a, range(0, 49) b")
+def peaks(spark, sf):
+    from tabulon.operators import numeric
+
+    return numeric.peaks(spark).agg(F.count("z").alias("n"))
+
+
+@query("n_randperm", "select count(*) as n, sum(x) as s from range(1, 1001) t(x)")
+def randperm(spark, sf):
+    from tabulon.operators import numeric
+
+    return numeric.randperm(spark, 1000).agg(F.countDistinct("value").alias("n"), F.sum("place").alias("s"))
+
+
+@query("n_boundary", "select * from (values (1, 2), (1, 3), (2, 4), (3, 4)) t(a, b)")
+def boundary(spark, sf):
+    from tabulon.operators import numeric
+
+    return numeric.delaunay_boundary(spark.createDataFrame([(1, 2, 3), (2, 3, 4)], "a int, b int, c int"))
