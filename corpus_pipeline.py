@@ -30,7 +30,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """n_chars follows the text."""
-    out = apply_bitmaps(docs, keep_bitmaps(docs)).drop("n_lines", "n_dropped")
+    out = apply_bitmaps(docs, keep_bitmaps(docs), counts=False)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out
 
 

@@ -67,11 +67,11 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return gone.select("d", "x", F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("start"), (b - a + 1).alias("length"))).alias("dropped"))
 
 
-def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with the dropped lines gone from the text column, and columns n_lines and n_dropped more.
+def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = True) -> DataFrame:
+    """`docs` with the dropped lines gone from the text column; with `counts` also n_lines and n_dropped.
 
-    A text that loses nothing stays as it is (null stays null)."""
-    own = docs.columns
+    A text that loses nothing stays as it is (null stays null).  The counts replace columns of their names."""
+    own = [c for c in docs.columns if not (counts and c in ("n_lines", "n_dropped"))]
     text, d, x = F.col(f"l.{text_col}"), F.coalesce(F.col(f"l.{id_col}").cast("long"), F.lit(NO_ID)), F.xxhash64(F.col(f"l.{text_col}"))
     joined = docs.alias("l").join(bitmaps.alias("b"), (d == F.col("b.d")) & (x == F.col("b.x")), "left")
     lines, runs = lines_of(text), F.col("b.dropped")
@@ -81,7 +81,10 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
     bits = F.split(F.array_join(edges, ""), "")
     kept = F.array_join(F.filter(lines, lambda v, i: F.coalesce(F.get(bits, i), F.lit("1")) != "0"), "\n")
     new = F.when(runs.isNull(), text).otherwise(kept)
-    return joined.select(*[(new.alias(c) if c == text_col else F.col(f"l.{c}")) for c in own], F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size(cleared), F.lit(0)).cast("long").alias("n_dropped"))
+    texts = [(new.alias(c) if c == text_col else F.col(f"l.{c}")) for c in own]
+    if not counts:
+        return joined.select(*texts)
+    return joined.select(*texts, F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size(cleared), F.lit(0)).cast("long").alias("n_dropped"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_key: int = MIN_KEY) -> DataFrame:

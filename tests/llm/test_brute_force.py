@@ -156,6 +156,9 @@ def test_line_dedup(spark, monkeypatch, hot):
     got = Counter((r.doc_id, r.n_lines, r.n_dropped, r.text or "") for r in op2.dedup_lines(table(spark, rows)).collect())
     assert got == line_dedup(rows)
     assert op2.dedup_lines(table(spark, rows).limit(0)).collect() == []
+    clash = table(spark, rows).withColumn("n_lines", F.lit("x")).withColumn("dropped", F.lit("y"))
+    assert Counter((r.doc_id, r.n_lines, r.n_dropped, r.text or "") for r in op2.dedup_lines(clash).collect()) == got
+    assert op2.apply_bitmaps(clash, op2.keep_bitmaps(clash), counts=False).columns == clash.columns
 
 
 # 3 -------------------------------------------------------------------------------------------------
@@ -478,6 +481,7 @@ def test_warc_round_trip(spark, tmp_path):
     assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == want
     assert all(r.sound for r in got)
     op9.write_warc(pages(spark, rows).limit(0), str(tmp_path / "e"))
+    assert op9.read_warc(spark, str(tmp_path / "e")).collect() == []
 
 
 @pytest.mark.parametrize("version", [1, 2])
