@@ -5,17 +5,19 @@ global order that puts frequent ones last.  Two classes at Jaccard >= 3/4 share
 ceil(3 (n1 + n2) / 7) shingles, and of those at least that many less the longer rest lie in both
 prefixes; that bound is exact for any order, so nothing is lost.
 
-Similar classes are first found as neighbours by size in the lists of shared prefix shingles and
-checked exactly; their components, cut into groups of about GROUP classes of like size, form the
-groups.  The token-group matrix stores each group's union of prefix shingles.  A query class joins it
-for groups of other components, its overlap with a group's union is counted, and only groups whose
-overlap reaches the bound are opened: the union of their whole sets is tested once more, and then
-every member exactly.  Links inside a component change nothing and are not looked for, so a group of
-thousands of near copies costs in proportion to its size.
+Classes that are near each other by size in the lists of shared prefix shingles are candidates; the
+best few of each class are checked exactly and give first components, and all candidates together
+give families.  Families are cut into groups of about GROUP classes of like size, which are the
+groups of the matrix: it stores each group's union of prefix shingles.  A query class meets the groups
+that hold a class of another and larger component; its overlap with a group's union is counted, and
+only groups whose overlap reaches the bound are opened: the union of their whole sets is tested, and
+then every member exactly.  Links inside a component change nothing and are not looked for, so a
+group of thousands of near copies is not compared pair by pair.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +30,10 @@ from .components import connected_components
 from .textkernels import U64, Texts, mix, shingles, slices
 
 WORDS, NUM, DEN = 5, 3, 4
-#: Bins of the frequency sketch that orders shingles, and classes in a group.
-BITS, GROUP = 18, 32
+#: Bins of the frequency sketch that orders shingles, and the bins that travel in one row.
+BITS, CHUNK_BITS = 22, 14
+#: Neighbours looked at in a list, candidates of a class that are checked at once, classes in a group, queries in a row.
+LAGS, BEST, GROUP, QUERIES = 8, 4, 128, 64
 #: Bits of the filter that picks the texts to read again.
 FILTER_BITS = 23
 NO_ID = (1 << 63) - 1
@@ -46,8 +50,8 @@ def _sets(column: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def prefix_length(n):
-    """Shingles in the prefix of a set of n: one in n / 16 more than the least, for a stronger bound."""
-    return np.minimum(n, n - -(-NUM * n // DEN) + 1 + n // 16)
+    """Shingles in the prefix of a set of n."""
+    return n - -(-NUM * n // DEN) + 1
 
 
 def fingerprint(u: np.ndarray) -> int:
@@ -56,26 +60,48 @@ def fingerprint(u: np.ndarray) -> int:
 
 
 def _frequency_classes(docs: DataFrame, size: int) -> np.ndarray:
-    """How far each bin of a sketch of all shingles lies above the mean, in half powers of two."""
+    """For each bin of a sketch of all shingles, how far it lies above chance: 0, or a class that grows with the excess.
+
+    Tasks send their counts as packed rows of bins; these are added up in streams and 1 byte a bin comes back.
+    """
+    step = 1 << CHUNK_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bins = np.zeros(1 << BITS, np.int64)
+        bins, held, many = np.zeros(1 << BITS, np.int32), [], 0
         for b in batches:
             column = b.column("text")
             for lo, hi in slices(column):
                 t = Texts(column.slice(lo, hi - lo), lower=True)
                 start, end, first = t.words()
                 h, _ = shingles(t.hashes(start, end), first, size)
-                bins += np.bincount((h >> U64(64 - BITS)).astype(np.int64), minlength=1 << BITS)
-        some = np.flatnonzero(bins)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(bins[some])], ["bin", "n"])
+                held.append((h >> U64(64 - BITS)).astype(np.int32))
+                many += len(h)
+                if many > 1 << 22:
+                    bins += np.bincount(np.concatenate(held), minlength=1 << BITS).astype(np.int32)
+                    held, many = [], 0
+        if held:
+            bins += np.bincount(np.concatenate(held), minlength=1 << BITS).astype(np.int32)
+        for k in range(len(bins) // step):
+            part = bins[k * step : (k + 1) * step]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["k", "bins"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                part = np.frombuffer(zlib.decompress(x.as_py()), np.int32).astype(np.int64)
+                sums[k] = sums[k] + part if k in sums else part
+        for k, v in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(v.tobytes(), 1)], pa.binary())], ["k", "bins"])
 
-    sums = docs.select("text").mapInArrow(count, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n"))
-    total = np.zeros(1 << BITS)
-    got = sums.toArrow()  # at most 2 ** BITS rows
-    total[got.column("bin").to_numpy()] = got.column("n").to_numpy()
-    mean = max(total.mean(), 1.0)
-    return np.clip(np.floor(2 * np.log2(np.maximum(total, 1) / mean)), 0, 63).astype(np.uint8)
+    parts = docs.select("text").mapInArrow(count, "k int, bins binary").repartition("k").mapInArrow(add, "k int, bins binary")
+    total = np.zeros(1 << BITS, np.int64)
+    for r in parts.collect():  # 2 ** BITS numbers at most
+        total[r.k * step : (r.k + 1) * step] = np.frombuffer(zlib.decompress(bytes(r.bins)), np.int64)
+    mean = max(float(total.mean()), 1.0)
+    excess = (total - mean) / np.sqrt(mean)
+    return np.where(excess < 3, 0, np.clip(np.floor(4 * np.log2(np.maximum(excess, 1) / 3)) + 1, 1, 250)).astype(np.uint8)
 
 
 def _needed(n1, n2):
@@ -85,7 +111,7 @@ def _needed(n1, n2):
 
 def _rest(n):
     """Shingles outside the prefix of a set of n, as a Column."""
-    return n - F.least(n, n - F.ceil(F.lit(NUM) * n / DEN) + 1 + F.floor(n / 16))
+    return F.ceil(F.lit(NUM) * n / DEN) - 1
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS) -> DataFrame:
@@ -124,38 +150,52 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     # Neighbours by size in the lists, kept where the bound allows a link.
     by_size = token.orderBy("n", "f")
-    pairs = shared.select("f", "n", F.lag("f").over(by_size).alias("f2"), F.lag("n").over(by_size).alias("n2")).filter(f"f2 is not null and {DEN} * n2 >= {NUM} * n")
+    back = F.array(*[F.struct(F.lag("f", k).over(by_size).alias("f2"), F.lag("n", k).over(by_size).alias("n2")) for k in range(1, LAGS + 1)])
+    pairs = shared.select("f", "n", back.alias("back")).select("f", "n", F.inline("back")).filter(f"f2 is not null and {DEN} * n2 >= {NUM} * n")
     pairs = pairs.groupBy("f", "n", "f2", "n2").agg(F.count("*").alias("c"))
     pairs = pairs.filter(F.col("c") >= _needed(F.col("n"), F.col("n2")) - F.greatest(_rest(F.col("n")), _rest(F.col("n2"))))
-    pairs = written(pairs.select("f", "f2"), "neighbours")
+    # The best of each class from both ends; the rest is left to the matrix.
+    share = (F.col("c") / (F.col("n") + F.col("n2"))).alias("share")
+    ends = pairs.select("f", "f2", share).unionByName(pairs.select(F.col("f2").alias("f"), F.col("f").alias("f2"), share))
+    ends = ends.withColumn("k", F.row_number().over(Window.partitionBy("f").orderBy(F.desc("share"), "f2"))).filter(F.col("k") <= BEST)
+    pairs = written(ends.select(F.least("f", "f2").alias("f"), F.greatest("f", "f2").alias("f2")).dropDuplicates(), "neighbours")
     sets = _whole_sets(docs, classes, pairs.select("f").unionByName(pairs.select(F.col("f2").alias("f"))), size)
     both = pairs.join(sets.select("f", F.col("tokens").alias("x")), "f").join(sets.select(F.col("f").alias("f2"), F.col("tokens").alias("y")), "f2")
     links = written(both.select("f", "f2", "x", "y").mapInArrow(_linked, "u long, v long"), "links")
     parts = connected_components(links)
+    families = connected_components(pairs.select(F.col("f").alias("u"), F.col("f2").alias("v"))).withColumnRenamed("root", "family")
 
-    # Groups: parts of a component of like size.
+    # Groups: parts of a family, of like size; a component that fills a group has groups of its own.
     member = classes.select("f", "n").join(parts.withColumnRenamed("id", "f"), "f", "left").withColumn("root", F.coalesce("root", "f"))
-    member = member.withColumn("scale", F.floor(F.log(F.col("n").cast("double")) * 20).cast("int"))
-    fill = member.groupBy("root", "scale").agg(F.ceil(F.count("*") / GROUP).alias("cut"))
-    member = member.join(fill, ["root", "scale"]).withColumn("g", F.xxhash64("root", "scale", F.pmod(F.xxhash64("f"), F.col("cut"))))
-    member = written(member.select("f", "n", "root", "g"), "members")
+    member = member.join(families.withColumnRenamed("id", "f"), "f", "left").withColumn("family", F.coalesce("family", "f"))
+    weight = member.groupBy("root").agg(F.count("*").alias("weight"))
+    member = member.join(weight, "root").withColumn("own", F.when(F.col("weight") >= GROUP, F.col("root")).otherwise(F.lit(0)))
+    member = member.withColumn("scale", F.floor(F.log(F.col("n").cast("double")) * 10).cast("int"))
+    fill = member.groupBy("family", "own", "scale").agg(F.ceil(F.count("*") / GROUP).alias("cut"))
+    member = member.join(fill, ["family", "own", "scale"]).withColumn("g", F.xxhash64("family", "own", "scale", F.pmod(F.xxhash64("f"), F.col("cut"))))
+    member = written(member.select("f", "n", "root", F.struct("weight", "root").alias("rank"), "g"), "members")
 
     # The matrix: (token, group) for tokens of more than one component.
-    placed = shared.join(member.select("f", "root", "g"), "f").withColumn("a", F.min("root").over(token)).withColumn("z", F.max("root").over(token)).filter("a <> z").drop("a", "z")
+    placed = shared.join(member.select("f", "root", "rank", "g"), "f").withColumn("a", F.min("root").over(token)).withColumn("z", F.max("root").over(token)).filter("a <> z").drop("a", "z", "root")
     placed = written(placed, "placed")
-    sizes = member.groupBy("g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    matrix = placed.select("token", "root", "g").dropDuplicates().join(sizes, "g").withColumnsRenamed({"root": "root2", "g": "g2"})
-    met = placed.join(matrix, "token").filter(f"root > root2 and {DEN} * hi >= {NUM} * n and {DEN} * n >= {NUM} * lo")
+    sizes = member.groupBy("g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("rank").alias("top"))
+    matrix = placed.select("token", "g").dropDuplicates().join(sizes, "g").withColumnRenamed("g", "g2")
+    # The smaller component asks the larger, so each pair of components meets once.
+    met = placed.join(matrix, "token").filter(f"rank < top and {DEN} * hi >= {NUM} * n and {DEN} * n >= {NUM} * lo")
     met = met.groupBy("f", "n", "g2", "lo", "hi").agg(F.count("*").alias("c"))
     # The member that asks for least is as small as the group and the sizes allow.
     small = F.greatest(F.col("lo"), F.ceil(F.lit(NUM) * F.col("n") / DEN))
-    opened = met.filter(F.col("c") >= _needed(F.col("n"), small) - F.greatest(_rest(F.col("n")), _rest(F.col("hi")) + 1))
+    opened = met.filter(F.col("c") >= _needed(F.col("n"), small) - F.greatest(_rest(F.col("n")), _rest(F.col("hi"))))
     opened = written(opened.select("f", "g2"), "opened")
     inside = member.join(opened.select(F.col("g2").alias("g")).dropDuplicates(), "g", "left_semi").select("f", "g")
-    sets = _whole_sets(docs, classes, inside.select("f").unionByName(opened.select("f")), size)
-    groups = inside.join(sets, "f").groupBy("g").agg(F.collect_list(F.struct("f", "tokens")).alias("members"))  # about GROUP members
-    asked = opened.join(sets, "f").join(groups.withColumnRenamed("g", "g2"), "g2").select("f", "tokens", "members")
-    more = asked.mapInArrow(_open_groups, "u long, v long")
+    sets = _whole_sets(docs, classes, inside.select("f").unionByName(opened.select("f")), size).join(member.select("f", "root"), "f")
+    groups = inside.join(sets, "f").groupBy("g").agg(F.collect_list(F.struct("f", "root", "tokens")).alias("members"))  # about GROUP members
+    # Queries of a group travel together, QUERIES or so in a row, so that its sets are sent once for all of them.
+    split = opened.groupBy("g2").agg(F.ceil(F.count("*") / QUERIES).alias("cut"))
+    asked = opened.join(split, "g2").withColumn("part", F.pmod(F.xxhash64("f"), F.col("cut"))).join(sets, "f")
+    asked = asked.groupBy("g2", "part").agg(F.collect_list(F.struct("f", "root", "tokens")).alias("queries"))
+    asked = asked.join(groups.withColumnRenamed("g", "g2"), "g2").select("queries", "members")
+    more = written(asked.mapInArrow(_open_groups, "u long, v long"), "more")
     parts = connected_components(links.unionByName(more))
 
     known = classes.join(parts.withColumnRenamed("id", "f"), "f", "left").withColumn("root", F.coalesce("root", "f"))
@@ -212,16 +252,21 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _open_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         u, v = [], []
-        for f, q, members in zip(b.column("f").to_pylist(), b.column("tokens"), b.column("members"), strict=True):
-            q = np.frombuffer(q.as_py(), U64)
-            inside = [(m["f"], np.frombuffer(m["tokens"], U64)) for m in members.as_py()]
-            union = np.unique(np.concatenate([x for _, x in inside]))
-            if DEN * len(np.intersect1d(q, union, assume_unique=True)) < NUM * len(q):
-                continue
-            for g, x in inside:
-                if _near(q, x):
-                    u.append(f)
-                    v.append(g)
+        for row in range(b.num_rows):
+            members = b.column("members")[row].as_py()
+            tokens = [np.frombuffer(m["tokens"], U64) for m in members]
+            ids, roots, size = (np.array(x) for x in ([m["f"] for m in members], [m["root"] for m in members], [len(x) for x in tokens]))
+            whole, owner = np.concatenate(tokens), np.repeat(np.arange(len(tokens)), size)
+            union = np.unique(whole)
+            for q in b.column("queries")[row].as_py():
+                x = np.frombuffer(q["tokens"], U64)
+                if DEN * len(np.intersect1d(x, union, assume_unique=True)) < NUM * len(x):
+                    continue
+                at = np.minimum(np.searchsorted(x, whole), len(x) - 1)
+                both = np.bincount(owner[x[at] == whole], minlength=len(tokens))
+                near = (DEN * both >= NUM * (len(x) + size - both)) & (roots != q["root"])
+                u += [q["f"]] * int(near.sum())
+                v += ids[near].tolist()
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
 
