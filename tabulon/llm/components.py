@@ -1,8 +1,8 @@
 """Connected components of a distributed graph.
 
-Each partition first shrinks its own edges to stars (union by smallest id).  Then rounds of
-large-star and small-star follow until nothing changes, O(log n) of them in practice; every round
-is a written table.  The steps are aggregates and equi-joins on node ids, so a hub's edges
+Edges are dealt to as many tasks as hold EDGES of them each, and each task shrinks its own to stars
+(union by smallest id); where one task holds all, that is the answer.  Else rounds of large-star and
+small-star follow until nothing changes, O(log n) of them in practice; every round is a written table.  The steps are aggregates and equi-joins on node ids, so a hub's edges
 pre-aggregate before the shuffle and a skewed join is split by AQE.  No edge reaches the driver.
 """
 
@@ -38,28 +38,34 @@ def star_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
+#: Edges that a task shrinks at once.
+EDGES_A_TASK = 1_000_000
+
+
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges of a partition as stars; works off a bounded number of edges at a time."""
+    """Edges as stars (root, id), a root with itself too; works off a bounded number of edges at a time."""
     held: list[np.ndarray] = []
 
-    def stars() -> pa.RecordBatch:
+    def stars() -> np.ndarray:
         e = np.concatenate(held)
         ids, at = np.unique(e, return_inverse=True)
         at = at.reshape(e.shape)
-        root = ids[star_labels(len(ids), at[:, 0], at[:, 1])]
-        keep = root != ids
-        return pa.RecordBatch.from_arrays([pa.array(root[keep]), pa.array(ids[keep])], schema=EDGES)
+        return np.column_stack([ids[star_labels(len(ids), at[:, 0], at[:, 1])], ids])
 
     size = 0
     for b in batches:
         if b.num_rows:
             held.append(np.column_stack([b.column(0).to_numpy(), b.column(1).to_numpy()]))
             size += b.num_rows
-        if size > 2_000_000:
-            yield stars()
-            held, size = [], 0
+        if size > 2 * EDGES_A_TASK:
+            held = [stars()]
+            size = len(held[0])
+            if size > EDGES_A_TASK:
+                yield pa.RecordBatch.from_arrays([pa.array(held[0][:, 0]), pa.array(held[0][:, 1])], schema=EDGES)
+                held, size = [], 0
     if held:
-        yield stars()
+        e = stars()
+        yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], schema=EDGES)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -69,21 +75,20 @@ def connected_components(edges: DataFrame) -> DataFrame:
     An empty edge table gives an empty result.
     """
     e = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).filter("u is not null and v is not null")
-    loops = e.filter("u = v").select(F.col("u").alias("id"), F.col("u").alias("root"))
-    e = written(e.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).dropDuplicates().mapInArrow(_contract, "u long, v long"), "stars")
+    e = written(e, "edges")
     while True:
-        # Settled: every v has one root and no root is a v.
-        roots = e.select("v").dropDuplicates().join(e.select(F.col("u").alias("v")), "v", "left_semi")
-        many = e.groupBy("v").count().filter("count > 1").select("v")
-        if roots.unionByName(many).isEmpty():
-            break
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("m").alias("u"), "v").filter("u <> v").dropDuplicates()
+        tasks = 1 + e.count() // EDGES_A_TASK
+        e = written(e.coalesce(tasks).mapInArrow(_contract, "u long, v long"), "stars")
+        if tasks == 1:
+            return e.select(F.col("v").alias("id"), F.col("u").alias("root"))
+        # Settled: every id has one root and each root is its own.
+        if e.dropDuplicates().groupBy("v").count().filter("count > 1").isEmpty():
+            return e.dropDuplicates().select(F.col("v").alias("id"), F.col("u").alias("root"))
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).dropDuplicates()
+        low = both.groupBy("u").agg(F.min("v").alias("m"))
+        large = both.join(low, "u").filter("v >= u").select(F.col("m").alias("u"), "v").dropDuplicates()
         large = written(large, "large")
         low = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(low, "v")
         small = small.select(F.col("m").alias("u"), F.col("u").alias("v")).unionByName(small.select(F.col("m").alias("u"), "v"))
-        e = written(small.filter("u <> v").dropDuplicates().mapInArrow(_contract, "u long, v long"), "stars")
-    found = e.select(F.col("v").alias("id"), F.col("u").alias("root")).unionByName(e.select(F.col("u").alias("id"), F.col("u").alias("root")))
-    return found.unionByName(loops.join(found, "id", "left_anti")).dropDuplicates(["id"])
+        e = written(small.dropDuplicates(), "small")

@@ -23,6 +23,7 @@ from tabulon.llm import op7_sharding as op7
 from tabulon.llm import op8_jaccard_join as op8
 from tabulon.llm import op9_warc as op9
 from tabulon.llm import op10_url_filters as op10
+from tabulon.llm import components as components_module
 from tabulon.llm.components import connected_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -113,7 +114,9 @@ def components(links: dict) -> dict:
     return root
 
 
-def test_connected_components(spark):
+@pytest.mark.parametrize("task", [1_000_000, 40])
+def test_connected_components(spark, monkeypatch, task):
+    monkeypatch.setattr(components_module, "EDGES_A_TASK", task)
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(0, 300)] + [(rng.randrange(400, 700), rng.randrange(400, 700)) for _ in range(150)] + [(800, 800), (1, 1), (None, 3)]
     df = spark.createDataFrame(edges, "u long, v long").repartition(7)
