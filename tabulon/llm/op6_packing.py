@@ -20,11 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, written
+from .common import written
+from .textkernels import U64, Texts, slices
 
 ROOM, CELL, MOST_IN_PATTERN = 2048, 64, 3
-#: Words whose tokens a worker remembers, at most.
-REMEMBERED = 400_000
+#: Words whose tokens a worker remembers, at most, and those it holds aside before they are sorted in.
+REMEMBERED, ASIDE = 1_500_000, 60_000
+#: Stands between words that are tokenized together; it is a token of its own.
+MARK = "\x01"
 CHUNK = 4096
 
 
@@ -33,53 +36,100 @@ class Words:
 
     Words are split at U+0009..U+000D and space.  The tokenizer's own splitting never joins characters
     across white space, so the ids of a text are those of its words, and each word is tokenized once.
+    Words are known by 64-bit hashes of their bytes.
     """
 
     def __init__(self, path: str):
-        import re
+        import os
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.find = re.compile(WORD).findall
+        self.mark = self.tok.encode(MARK, add_special_tokens=False).ids
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
-        self.start = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
-
-    def learn(self, words: list[str]) -> None:
-        got = [e.ids for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
-        size = np.fromiter((len(x) for x in got), np.int64, len(got))
-        for k, w in enumerate(words, len(self.at)):
-            self.at[w] = k
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in got for i in x), np.uint32, int(size.sum()))])
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text and a closing 0."""
-        split = [self.find(t) for t in texts]
-        new = set().union(*split) - self.at.keys()
-        if len(self.at) + len(new) > REMEMBERED:
-            self.clear()
-            new = set().union(*split)
-        if new:
-            self.learn(list(new))
-        out = []
-        for words in split:
-            w = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
-            size = self.size[w]
-            total = int(size.sum())
-            ids = np.zeros(total + 1, np.uint32)
-            before = np.cumsum(size) - size
-            ids[:total] = self.flat[np.arange(total) + np.repeat(self.start[w] - before, size)]
-            out.append(ids)
+        self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
+        # (sorted hashes, starts, sizes): the main table and a small one of new words.
+        none = (np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.main, self.new = none, none
+
+    def _ids(self, words: list[bytes]) -> list[np.ndarray]:
+        """Ids of each word; many words go in one text with marks between them."""
+        texts = [w.decode() for w in words]
+        alone = len(self.mark) != 1 or any(MARK in t for t in texts)
+        if alone:
+            return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        out: list[np.ndarray] = []
+        sep = f" {MARK} "
+        for at in range(0, len(texts), 2000):
+            part = texts[at : at + 2000]
+            ids = np.array(self.tok.encode_batch_fast([sep.join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            cuts = np.flatnonzero(ids == self.mark[0])
+            if len(cuts) != len(part) - 1:
+                raise AssertionError("a word gave the mark's token")
+            start = np.concatenate([[0], cuts + 1])
+            end = np.concatenate([cuts, [len(ids)]])
+            out += [ids[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
         return out
 
+    def learn(self, h: np.ndarray, words: list[bytes]) -> None:
+        """h: sorted hashes of the new words."""
+        got = self._ids(words)
+        size = np.fromiter(map(len, got), np.int64, len(got))
+        total = int(size.sum())
+        while self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.uint32)])
+        start = self.used + np.cumsum(size) - size
+        if total:
+            self.flat[self.used : self.used + total] = np.concatenate(got)
+        self.used += total
+        self.new = self._merged(self.new, (h, start, size))
+        if len(self.new[0]) > ASIDE:
+            self.main = self._merged(self.main, self.new)
+            self.new = tuple(x[:0] for x in self.new)
+
+    @staticmethod
+    def _merged(a: tuple, b: tuple) -> tuple:
+        order = np.argsort(np.concatenate([a[0], b[0]]), kind="stable")
+        return tuple(np.concatenate([x, y])[order] for x, y in zip(a, b, strict=True))
+
+    def _find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, size, known) of sorted hashes."""
+        start, size, known = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64), np.zeros(len(h), dtype=bool)
+        for keys, s, n in (self.main, self.new):
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                hit = keys[at] == h
+                start[hit], size[hit] = s[at[hit]], n[at[hit]]
+                known |= hit
+        return start, size, known
+
+    def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, each with a closing 0, and the marks between texts."""
+        lo, hi, first = texts.words()
+        h, at, inverse = np.unique(texts.hashes(lo, hi), return_index=True, return_inverse=True)
+        start, size, known = self._find(h)
+        if not known.all():
+            if len(self.main[0]) + len(self.new[0]) + len(h) > REMEMBERED:
+                self.clear()
+                known[:] = False
+            raw = texts.data.tobytes()
+            at = at[~known]
+            self.learn(h[~known], [raw[a:b] for a, b in zip(lo[at].tolist(), hi[at].tolist(), strict=True)])
+            start, size, known = self._find(h)
+        size = size[inverse]
+        # Each text's words, then room for its 0.
+        before = np.cumsum(size) - size
+        run = np.concatenate([[0], np.cumsum(size)])[first]
+        marks = run + np.arange(len(first))
+        total = int(size.sum())
+        out = np.zeros(total + texts.n, np.uint32)
+        doc = np.repeat(np.arange(texts.n), np.diff(run))
+        out[np.arange(total) + doc] = self.flat[np.arange(total) + np.repeat(start[inverse] - before, size)]
+        return out, marks
+
 
 _words: dict[str, Words] = {}
 
@@ -100,17 +150,18 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, room: int = ROOM, with_id
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = tokenizer(tokenizer_path)
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                docs_, out = part.column(0).to_pylist(), ([], [], [], [], [])
-                held = []
-                for d, ids in zip(docs_, words.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
-                    for k, s in enumerate(range(0, len(ids), room)):
-                        piece = ids[s : s + room]
-                        for c, v in zip(out, (d, k, s, len(piece), zlib.crc32(piece.astype("<u4").tobytes())), strict=True):
+            texts = b.column(1).fill_null("")
+            for lo, hi in slices(texts):
+                ids, marks = words.encode(Texts(texts.slice(lo, hi - lo)))
+                raw = ids.astype("<u4").tobytes()
+                docs_, out, held = b.column(0).slice(lo, hi - lo).to_pylist(), ([], [], [], [], []), []
+                for d, a, z in zip(docs_, marks[:-1].tolist(), marks[1:].tolist(), strict=True):
+                    for k, s in enumerate(range(a, z, room)):
+                        e = min(s + room, z)
+                        for c, v in zip(out, (d, k, s - a, e - s, zlib.crc32(raw[4 * s : 4 * e])), strict=True):
                             c.append(v)
                         if with_ids:
-                            held.append(piece.astype(np.int32))
+                            held.append(ids[s:e].astype(np.int32))
                 cols = [pa.array(c, t) for c, (_, t) in zip(out, fields, strict=True)]
                 if with_ids:
                     cols.append(pa.array(held, pa.list_(pa.int32())))
