@@ -4,9 +4,10 @@ Base kinds are found by linear-time patterns; positions come from the lengths of
 gaps between them.  The method then asks which terms give a protected entity away: with document
 frequencies over the whole corpus, a term t discloses an entity e when
 PMI(t; e) >= ALPHA * IC(e), that is, when seeing t tells nearly all there is to know about e's
-presence.  Co-occurrence counts distinct contexts, so copies of a text count once.  Terms over the
-threshold become spans of kind `term` in the documents that hold the entity, and `sanitise`
-generalises base spans to their kind and removes the terms.
+presence.  Co-occurrence counts distinct texts that hold both, anywhere in the text, so copies of a
+text count once.  No support is asked for: p(e | t) is drawn to p(e) by one text's weight, and every
+pair is judged.  Terms over the threshold become spans of kind `term` in the texts that hold both, and
+`sanitise` generalises base spans to their kind and removes the terms.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import hash128, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: Possessive and anchored where a run starts (or the last match ended), so that scanning is linear.
@@ -25,8 +26,9 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 GATES = {"email": None, "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": r"\+[0-9]"}
-#: Share of an entity's information that a term must give; distinct contexts that must show both; context in code points.
-ALPHA, SUPPORT, CONTEXT = 0.8, 3, 60
+#: Share of an entity's information that a term must give; weight, in texts, by which p(e | t) is drawn to p(e); code points
+#: on each side for callers of `find_pii` who want near terms only (the query takes whole texts).
+ALPHA, PRIOR, CONTEXT = 0.8, 1.0, 60
 TERM = r"\p{L}{4,}"
 
 
@@ -78,65 +80,102 @@ def digest(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
+def _replaced(text: Column, spans: Column, mark) -> Column:
+    """`text` with mark(kind) in place of each span; of overlapping spans the first."""
+    spans = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def cut(acc: Column, s: Column) -> Column:
+        piece = F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), mark(s["kind"]))
+        return F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(piece)).alias("out"))).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
+
+    done = F.aggregate(spans, zero, cut)
+    return F.concat(F.array_join(done["out"], ""), F.substring(text, done["at"] + 1, F.lit(2147483647)))
+
+
+def _term(w: Column) -> Column:
+    return F.xxhash64(F.lower(w))
+
+
+def _terms(text: Column) -> Column:
+    """array<bigint>: hashes of the distinct terms of a text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), _term))
+
+
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, context: int | None = CONTEXT) -> DataFrame:
     """One row per document: doc_id, text (of documents with spans, else null), base, terms.
 
     `base` and `terms` are arrays of (kind, start, end, value), code points, end exclusive.  A null text
     has no spans; a null id is kept; repeated rows are treated each for itself; an empty table gives no
-    rows; other columns are ignored.  Terms never overlap base spans.
+    rows; other columns are ignored.  Terms never overlap base spans.  With `context` a term must lie
+    within so many code points of an entity to occur with it; with None anywhere in the text.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
-    rows = rows.select("doc_id", "text", *[spans_of(F.col("text"), k).alias(k) for k in KINDS])
-    rows = rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text", F.concat(*KINDS).alias("base"))
-    # Row numbers are fixed once written; texts are kept only where something was found.
-    rows = written(rows.select("rid", "doc_id", "base", F.when(F.size("base") > 0, F.col("text")).alias("text")), "base")
-    some = rows.filter("text is not null")
-
-    each = some.select("rid", "text", F.explode("base").alias("s")).select(
-        "rid",
-        F.lower("s.value").alias("entity"),
-        F.lower(F.concat(F.substring(F.col("text"), F.greatest(F.col("s.start") - CONTEXT + 1, F.lit(1)), F.least(F.col("s.start"), F.lit(CONTEXT))), F.lit(" "), F.substring(F.col("text"), F.col("s.end") + 1, F.lit(CONTEXT)))).alias("near"),
-    )
-    near = each.select("entity", F.xxhash64("near").alias("c"), F.array_distinct(F.regexp_extract_all(F.regexp_replace("near", r"\S*@\S*", " "), F.lit(TERM), F.lit(0))).alias("t")).dropDuplicates(["entity", "c"])
-    seen = near.groupBy("entity").agg(F.count("*").alias("ne")).filter(F.col("ne") >= support)
-    pairs = near.join(seen, "entity").select("entity", "ne", F.explode("t").alias("term")).groupBy("entity", "ne", "term").agg(F.count("*").alias("co")).filter(F.col("co") >= support)
+    h1, h2 = hash128(text)
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), h1.alias("h1"), h2.alias("h2"))
+    rows = rows.select("doc_id", "text", "h1", "h2", *[spans_of(F.col("text"), k).alias(k) for k in KINDS])
+    rows = rows.select("doc_id", "text", "h1", "h2", F.concat(*KINDS).alias("base"))
+    rest = _replaced(F.col("text"), F.col("base"), lambda kind: F.lit(" "))
+    # Texts, and their terms outside base spans, are kept only where something was found.
+    rows = written(rows.select("doc_id", "h1", "h2", "base", F.when(F.size("base") > 0, F.col("text")).alias("text"), F.when(F.size("base") > 0, _terms(rest)).alias("t")), "base")
+    some = written(rows.filter("text is not null").drop("doc_id").dropDuplicates(["h1", "h2"]), "some")
+
     # Document frequencies over all documents.
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(TERM), F.lit(0)))).alias("term"))
-    df = words.groupBy("term").agg(F.count("*").alias("df"))
+    df = docs.select(F.explode(_terms(text)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     n = max(1, rows.count())
-    ic = F.log(F.lit(float(n)) / F.least(F.col("ne"), F.lit(n)))
-    pmi = F.log(F.col("co") * float(n) / (F.greatest("df", "co").cast("double") * F.least(F.col("ne"), F.lit(n))))
-    telling = written(pairs.join(df, "term").filter((pmi >= alpha * ic) & (ic > 0)).select("entity", "term"), "telling")
-
-    # One row for each telling term of a document's entities; then its words with their places.
-    flagged = each.select("rid", "entity").dropDuplicates().join(telling, "entity").groupBy("rid").agg(F.collect_set("term").alias("telling"))
-    hit = some.join(flagged, "rid").select("rid", "base", "telling", F.regexp_extract_all("text", F.lit(TERM), F.lit(0)).alias("w"), F.split("text", TERM, -1).alias("g"))
-    hit = hit.select("rid", "base", "telling", F.posexplode("w").alias("i", "w"), "g").select("rid", "base", "telling", "i", "w", F.length(F.get("g", F.col("i"))).alias("gap"))
-    end = F.sum(F.col("gap") + F.length("w")).over(Window.partitionBy("rid").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    p = F.col("ne") / F.lit(float(n))
+    least = F.pow(p, F.lit(1.0 - alpha))  # p(e | t) from which on PMI >= alpha * IC
+
+    def given(co: Column) -> Column:
+        return (co + PRIOR * p) / (F.col("df") + PRIOR)
+
+    if context is None:
+        # Entities held by the same texts have the same verdicts: their group is known by the xor of the texts' hashes.
+        held = some.select("h1", "h2", F.explode(F.array_distinct(F.transform("base", lambda s: F.lower(s["value"])))).alias("entity"))
+        groups = held.groupBy("entity").agg(F.count("*").alias("ne"), F.bit_xor("h1").alias("g1"), F.bit_xor("h2").alias("g2"))
+        held = held.join(groups, "entity").select("h1", "h2", "ne", "g1", "g2").dropDuplicates()
+        pairs = held.join(some.select("h1", "h2", F.explode("t").alias("term")).join(df, "term"), ["h1", "h2"])
+    else:
+        each = some.select("h1", "h2", "text", "t", F.explode("base").alias("s")).select(
+            "h1",
+            "h2",
+            "t",
+            F.lower("s.value").alias("entity"),
+            F.concat(F.substring(F.col("text"), F.greatest(F.col("s.start") - context + 1, F.lit(1)), F.least(F.col("s.start"), F.lit(context))), F.lit(" "), F.substring(F.col("text"), F.col("s.end") + 1, F.lit(context))).alias("near"),
+        )
+        groups = each.groupBy("entity").agg(F.count_distinct("h1", "h2").alias("ne"))
+        g1, g2 = hash128(F.col("entity"))
+        near = each.select("h1", "h2", "entity", F.explode(F.array_intersect(_terms(F.regexp_replace("near", r"\S*@\S*", " ")), "t")).alias("term")).dropDuplicates()
+        pairs = near.join(groups, "entity").join(df, "term").withColumns({"g1": g1, "g2": g2})
+    # A pair that could not tell if all texts of the rarer side had both need not be counted.
+    able = (F.col("ne") < n) & (given(F.least("df", "ne")) >= least)
+    pairs = written(pairs.filter(able).select("h1", "h2", "ne", "g1", "g2", "term", "df"), "pairs")
+    key = ["ne", "g1", "g2", "term"]
+    telling = pairs.groupBy(*key, "df").agg(F.count("*").alias("co")).filter(given(F.col("co")) >= least).select(*key)
+
+    # One row for each text with its telling terms; then its words with their places.
+    flagged = pairs.join(telling, key).groupBy("h1", "h2").agg(F.collect_set("term").alias("telling"))
+    hit = some.join(flagged, ["h1", "h2"]).select("h1", "h2", "base", "telling", F.regexp_extract_all("text", F.lit(TERM), F.lit(0)).alias("w"), F.split("text", TERM, -1).alias("g"))
+    hit = hit.select("h1", "h2", "base", "telling", F.posexplode("w").alias("i", "w"), "g").select("h1", "h2", "base", "telling", "i", "w", F.length(F.get("g", F.col("i"))).alias("gap"))
+    end = F.sum(F.col("gap") + F.length("w")).over(Window.partitionBy("h1", "h2").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
     hit = hit.withColumn("end", end).withColumn("start", F.col("end") - F.length("w"))
-    hit = hit.filter(F.array_contains("telling", F.lower("w")) & ~F.exists("base", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start"))))
-    terms = hit.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "end", "w"))).alias("t"))
-    terms = terms.select("rid", F.transform("t", lambda s: F.struct(F.lit("term").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["w"].alias("value"))).alias("terms"))
+    hit = hit.filter(F.array_contains("telling", _term(F.col("w"))) & ~F.exists("base", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start"))))
+    terms = hit.groupBy("h1", "h2").agg(F.sort_array(F.collect_list(F.struct("start", "end", "w"))).alias("t"))
+    terms = terms.select("h1", "h2", F.transform("t", lambda s: F.struct(F.lit("term").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["w"].alias("value"))).alias("terms"))
     none = F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>")
-    return rows.join(terms, "rid", "left").select("doc_id", "text", "base", F.coalesce("terms", none).alias("terms"))
+    # The verdict goes to all copies; documents without spans need no join.
+    found = rows.filter("text is not null").join(terms, ["h1", "h2"], "left").select("doc_id", "text", "base", F.coalesce("terms", none).alias("terms"))
+    return found.unionByName(rows.filter("text is null").select("doc_id", "text", "base", none.alias("terms")))
 
 
 def sanitise(found: DataFrame) -> DataFrame:
     """Adds clean_text to rows of `find_pii`: base spans become [KIND], telling terms go; null where there is nothing to change."""
-    spans = F.array_sort(F.transform(F.concat("base", "terms"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def cut(acc: Column, s: Column) -> Column:
-        mark = F.when(s["kind"] == "term", F.lit("")).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
-        piece = F.concat(F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), mark)
-        return F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(piece)).alias("out"))).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
-
-    done = F.aggregate(spans, zero, cut)
-    return found.withColumn("clean_text", F.when(F.size(spans) > 0, F.concat(F.array_join(done["out"], ""), F.substring(F.col("text"), done["at"] + 1, F.lit(2147483647)))))
+    spans = F.concat("base", "terms")
+    clean = _replaced(F.col("text"), spans, lambda kind: F.when(kind == "term", F.lit("")).otherwise(F.concat(F.lit("["), F.upper(kind), F.lit("]"))))
+    return found.withColumn("clean_text", F.when(F.size(spans) > 0, clean))
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet"), context=None)
     counts = [F.size(F.filter("base", _is_kind(k))).cast("long").alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(digest(F.col("base")).cast("binary"), 256).alias("base_sha256"), digest(F.concat("base", "terms")).alias("spans"))

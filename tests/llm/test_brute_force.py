@@ -318,6 +318,37 @@ def test_pii_terms(spark):
     assert [t[s["start"] : s["end"]] for s in out[300].terms] == [s["value"] for s in out[300].terms]
 
 
+def told(texts):
+    """Telling terms of each text by the definition: whole texts, each counted once, p(e | t) drawn to p(e) by one text."""
+    some = sorted({t or "" for t in texts})
+    ents, terms = {}, {}
+    for t in some:
+        ents[t] = set(re.findall(r"[a-z]+@[a-z]+\.org", t))
+        terms[t] = set(re.findall(r"[^\W\d_]{4,}", re.sub(r"[a-z]+@[a-z]+\.org", " ", t).lower()))
+    n, ne, df, co = len(some), Counter(e for t in some for e in ents[t]), Counter(w for t in some for w in terms[t]), Counter((e, w) for t in some for e in ents[t] for w in terms[t])
+    telling = {(e, w) for (e, w), c in co.items() if ne[e] < n and math.log((c + ne[e] / n) / (df[w] + 1) * n / ne[e]) >= 0.8 * math.log(n / ne[e])}
+    return {t: {w for e in ents[t] for w in terms[t] if (e, w) in telling} for t in some}
+
+
+def pii_rows(spark, rows):
+    found = op5.find_pii(table(spark, rows), context=None).collect()
+    return [(r.doc_id, {s["value"].lower() for s in r.terms}) for r in found]
+
+
+def test_pii_rare_and_far_terms(spark):
+    rng = random.Random(6)
+    fill = [f"filler{chr(97 + i)}{chr(97 + j)}" for i in range(5) for j in range(5)]
+    some = lambda k=12: " ".join(rng.choice(fill) for _ in range(k))
+    rows = [(i, some(), "a") for i in range(300)]
+    rows += [(400, f"Farword {some(60)} mail once@town.org {some()}", "b")]
+    rows += [(410 + i, f"Pairword {some(40)} twice@town.org and also@town.org {some()}", "b") for i in range(2)]
+    rows += [(420 + i, f"{some()} common@town.org {some(40)} shared {some()}", "b") for i in range(40)]
+    want = told([t for _, t, _ in rows])
+    got = dict(pii_rows(spark, rows))
+    assert got == {i: want[t] for i, t, _ in rows}
+    assert got[400] >= {"farword"} and got[410] >= {"pairword"} and got[420] == {"shared"} and got[0] == set()
+
+
 # 6 -------------------------------------------------------------------------------------------------
 
 
