@@ -120,9 +120,11 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", al
     rows = written(rows.select("doc_id", "h1", "h2", "base", F.when(F.size("base") > 0, F.col("text")).alias("text"), F.when(F.size("base") > 0, _terms(rest)).alias("t")), "base")
     some = written(rows.filter("text is not null").drop("doc_id").dropDuplicates(["h1", "h2"]), "some")
 
-    # Document frequencies over all documents.
-    df = docs.select(F.explode(_terms(text)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    n = max(1, rows.count())
+    # Document frequencies over the distinct texts, as co-occurrence is counted.
+    plain = docs.select(h1.alias("h1"), h2.alias("h2"), text.alias("text")).dropDuplicates(["h1", "h2"]).join(some.select("h1", "h2"), ["h1", "h2"], "left_anti")
+    words = plain.select(F.explode(_terms(F.col("text"))).alias("term")).unionByName(some.select(F.explode("t").alias("term")))
+    df = words.groupBy("term").agg(F.count("*").alias("df"))
+    n = max(1, rows.select("h1", "h2").distinct().count())
     p = F.col("ne") / F.lit(float(n))
     least = F.pow(p, F.lit(1.0 - alpha))  # p(e | t) from which on PMI >= alpha * IC
 

@@ -349,6 +349,20 @@ def test_pii_rare_and_far_terms(spark):
     assert got[400] >= {"farword"} and got[410] >= {"pairword"} and got[420] == {"shared"} and got[0] == set()
 
 
+def test_pii_copies_keep_verdicts(spark):
+    rng = random.Random(7)
+    fill = [f"filler{chr(97 + i)}{chr(97 + j)}" for i in range(5) for j in range(5)]
+    some = lambda: " ".join(rng.choice(fill) for _ in range(12))
+    rows = [(i, some(), "a") for i in range(300)]
+    rows += [(400 + i, f"{some()} Springfield boss@town.org {some()}", "b") for i in range(3)]
+    plain = dict(pii_rows(spark, rows))
+    rows += [(1000 + i, rows[300][1], "c") for i in range(400)]
+    want = told([t for _, t, _ in rows])
+    got = pii_rows(spark, rows)
+    assert len(got) == len(rows) and dict(got) == {i: want[t] for i, t, _ in rows}
+    assert all(dict(got)[i] == plain[i] for i in plain) and "springfield" in plain[400] and dict(got)[1399] == plain[400]
+
+
 # 6 -------------------------------------------------------------------------------------------------
 
 
