@@ -223,6 +223,23 @@ def test_quality_scores_and_held_out(spark):
     assert got[5].score == pytest.approx(model.ratio[bins].mean())
 
 
+def test_quality_counts_all_trusted(spark, monkeypatch):
+    monkeypatch.setattr(op3.trusted_ids, "__defaults__", (6,))
+    rows = [(i, f"one{i} two{i} three{i} four{i}", "a") for i in range(40)]
+    lab = spark.createDataFrame([(i, int(i < 30), 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    first = op3.trusted_ids(lab)
+    assert len(first) == 6
+    model = op3.model_for(table(spark, rows), lab)
+
+    def counts(some):
+        t = op3.Texts(__import__("pyarrow").array(some))
+        s, e, at = t.words()
+        return np.bincount(op3.bins_of(t.hashes(s, e), at)[0], minlength=op3.BINS)
+
+    own, raw = counts([t for i, t, _ in rows if i < 30 and i not in first[::3]]), counts([t for _, t, _ in rows])
+    assert model.ratio == pytest.approx(np.log((own + 1) / (own.sum() + op3.BINS)) - np.log((raw + 1) / (raw.sum() + op3.BINS)))
+
+
 # 4 -------------------------------------------------------------------------------------------------
 
 
