@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import written
-from .textkernels import U64, Texts, slices
+from .textkernels import U64, Texts, same_bytes, slices
 
 ROOM, CELL, MOST_IN_PATTERN = 2048, 64, 3
-#: Words whose tokens a worker remembers, at most, and those it holds aside before they are sorted in.
+#: Words whose tokens and bytes a worker remembers, at most, and those it holds aside before they are sorted in.
 REMEMBERED, ASIDE = 1_500_000, 60_000
 #: Stands between words that are tokenized together; it is a token of its own.
 MARK = "\x01"
@@ -36,7 +36,7 @@ class Words:
 
     Words are split at U+0009..U+000D and space.  The tokenizer's own splitting never joins characters
     across white space, so the ids of a text are those of its words, and each word is tokenized once.
-    Words are known by 64-bit hashes of their bytes.
+    Words are looked up by 64-bit hashes, and the bytes found are compared with the bytes asked for.
     """
 
     def __init__(self, path: str):
@@ -51,8 +51,10 @@ class Words:
 
     def clear(self) -> None:
         self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
-        # (sorted hashes, starts, sizes): the main table and a small one of new words.
-        none = (np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.kept, self.kept_used = np.zeros(1 << 20, np.uint8), 0
+        self.blocks = np.ndarray(len(self.kept) - 7, dtype="<u8", buffer=self.kept.data, strides=(1,))
+        # (sorted hashes, starts, sizes, places and lengths of the bytes): the main table and a small one of new words.
+        none = (np.zeros(0, U64), *(np.zeros(0, np.int64) for _ in range(4)))
         self.main, self.new = none, none
 
     def _ids(self, words: list[bytes]) -> list[np.ndarray]:
@@ -67,8 +69,9 @@ class Words:
             part = texts[at : at + 2000]
             ids = np.array(self.tok.encode_batch_fast([sep.join(part)], add_special_tokens=False)[0].ids, np.uint32)
             cuts = np.flatnonzero(ids == self.mark[0])
-            if len(cuts) != len(part) - 1:
-                raise AssertionError("a word gave the mark's token")
+            if len(cuts) != len(part) - 1:  # a word gave the mark's token
+                out += [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(part, add_special_tokens=False)]
+                continue
             start = np.concatenate([[0], cuts + 1])
             end = np.concatenate([cuts, [len(ids)]])
             out += [ids[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
@@ -77,15 +80,19 @@ class Words:
     def learn(self, h: np.ndarray, words: list[bytes]) -> None:
         """h: sorted hashes of the new words."""
         got = self._ids(words)
-        size = np.fromiter(map(len, got), np.int64, len(got))
-        total = int(size.sum())
+        size, length = np.fromiter(map(len, got), np.int64, len(got)), np.fromiter(map(len, words), np.int64, len(words))
+        total, raw = int(size.sum()), np.frombuffer(b"".join(words), np.uint8)
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.uint32)])
-        start = self.used + np.cumsum(size) - size
+        while self.kept_used + len(raw) > len(self.kept) - 8:
+            self.kept = np.concatenate([self.kept, np.zeros(len(self.kept), np.uint8)])
+        start, place = self.used + np.cumsum(size) - size, self.kept_used + np.cumsum(length) - length
         if total:
             self.flat[self.used : self.used + total] = np.concatenate(got)
-        self.used += total
-        self.new = self._merged(self.new, (h, start, size))
+        self.kept[self.kept_used : self.kept_used + len(raw)] = raw
+        self.used, self.kept_used = self.used + total, self.kept_used + len(raw)
+        self.blocks = np.ndarray(len(self.kept) - 7, dtype="<u8", buffer=self.kept.data, strides=(1,))
+        self.new = self._merged(self.new, (h, start, size, place, length))
         if len(self.new[0]) > ASIDE:
             self.main = self._merged(self.main, self.new)
             self.new = tuple(x[:0] for x in self.new)
@@ -95,22 +102,23 @@ class Words:
         order = np.argsort(np.concatenate([a[0], b[0]]), kind="stable")
         return tuple(np.concatenate([x, y])[order] for x, y in zip(a, b, strict=True))
 
-    def _find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start, size, known) of sorted hashes."""
-        start, size, known = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64), np.zeros(len(h), dtype=bool)
-        for keys, s, n in (self.main, self.new):
+    def _find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, size, place, length) of sorted hashes as columns, and which are known."""
+        found, known = np.zeros((4, len(h)), np.int64), np.zeros(len(h), dtype=bool)
+        for keys, *cols in (self.main, self.new):
             if len(keys):
                 at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
                 hit = keys[at] == h
-                start[hit], size[hit] = s[at[hit]], n[at[hit]]
+                for row, c in zip(found, cols, strict=True):
+                    row[hit] = c[at[hit]]
                 known |= hit
-        return start, size, known
+        return found, known
 
     def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, each with a closing 0, and the marks between texts."""
         lo, hi, first = texts.words()
         h, at, inverse = np.unique(texts.hashes(lo, hi), return_index=True, return_inverse=True)
-        start, size, known = self._find(h)
+        found, known = self._find(h)
         if not known.all():
             if len(self.main[0]) + len(self.new[0]) + len(h) > REMEMBERED:
                 self.clear()
@@ -118,8 +126,17 @@ class Words:
             raw = texts.data.tobytes()
             at = at[~known]
             self.learn(h[~known], [raw[a:b] for a, b in zip(lo[at].tolist(), hi[at].tolist(), strict=True)])
-            start, size, known = self._find(h)
-        size = size[inverse]
+            found, known = self._find(h)
+        start, size, place, length = found[:, inverse]
+        sound = length == hi - lo
+        sound[sound] = same_bytes(self.blocks, place[sound], texts.blocks, lo[sound], length[sound])
+        flat = self.flat
+        if not sound.all():  # words whose hash another word holds: tokenized anew
+            raw, wrong = texts.data.tobytes(), np.flatnonzero(~sound)
+            got = self._ids([raw[a:b] for a, b in zip(lo[wrong].tolist(), hi[wrong].tolist(), strict=True)])
+            size[wrong] = list(map(len, got))
+            start[wrong] = self.used + np.cumsum(size[wrong]) - size[wrong]
+            flat = np.concatenate([flat[: self.used], *got])
         # Each text's words, then room for its 0.
         before = np.cumsum(size) - size
         run = np.concatenate([[0], np.cumsum(size)])[first]
@@ -127,7 +144,7 @@ class Words:
         total = int(size.sum())
         out = np.zeros(total + texts.n, np.uint32)
         doc = np.repeat(np.arange(texts.n), np.diff(run))
-        out[np.arange(total) + doc] = self.flat[np.arange(total) + np.repeat(start[inverse] - before, size)]
+        out[np.arange(total) + doc] = flat[np.arange(total) + np.repeat(start - before, size)]
         return out, marks
 
 

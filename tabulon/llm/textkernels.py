@@ -8,6 +8,7 @@ UTF-8, so byte masks find words exactly.  Hashes are 64-bit, deterministic acros
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,6 @@ import pyarrow as pa
 
 U64 = np.uint64
 BASE = U64(0x9E3779B97F4A7C15 | 1)
-INV_BASE = U64(pow(int(BASE), -1, 1 << 64))
 #: Bytes of text that a kernel takes at once (one longer text is taken alone).
 SLICE_BYTES = 1 << 20
 
@@ -38,27 +38,33 @@ def stream(seed: int, n: int) -> np.ndarray:
         return mix(np.arange(1, n + 1, dtype=U64) * BASE + U64(seed))
 
 
-BYTE_CODES = stream(7, 256)
 PLACE = stream(11, 16) | U64(1)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
-_powers: dict[str, np.ndarray] = {}
+#: Ranges of more bytes than this are hashed one by one, with a cryptographic hash.
+LONG = 512
+MASKS = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], U64)
 
 
-def _power(kind: str, n: int) -> np.ndarray:
-    have = _powers.get(kind)
-    if have is None or len(have) < n:
-        base = BASE if kind == "up" else INV_BASE
-        size = max(n, SLICE_BYTES + 1)
-        steps = np.full(size, base, dtype=U64)
-        steps[0] = U64(1)
-        with np.errstate(over="ignore"):
-            have = np.cumprod(steps, dtype=U64)
-        if size <= 1 << 24:
-            _powers[kind] = have
-    return have
+def blocks_of(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on, as little-endian numbers; zeros follow the last byte."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 1, dtype="<u8", buffer=padded.data, strides=(1,))
+
+
+def same_bytes(a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether pairs of equally long ranges of two `blocks_of` hold the same bytes."""
+    out = np.ones(len(size), dtype=bool)
+    live, k = np.flatnonzero(size > 0), 0
+    while len(live):
+        left = size[live] - k
+        differ = (a[at_a[live] + k] ^ b[at_b[live] + k]) & MASKS[np.minimum(left, 8)] != 0
+        out[live[differ]] = False
+        live, k = live[(left > 8) & ~differ], k + 8
+    return out
 
 
 def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
@@ -91,16 +97,28 @@ class Texts:
         self.data = LOWER[raw] if lower else raw
         self.off = off - off[0]
         self.n = len(off) - 1
-        self._prefix: np.ndarray | None = None
+        self._blocks: np.ndarray | None = None
+
+    @property
+    def blocks(self) -> np.ndarray:
+        if self._blocks is None:
+            self._blocks = blocks_of(self.data)
+        return self._blocks
 
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """64-bit hashes of byte ranges."""
-        if self._prefix is None:
-            with np.errstate(over="ignore"):
-                self._prefix = np.concatenate([np.zeros(1, U64), np.cumsum(BYTE_CODES[self.data] * _power("up", len(self.data))[: len(self.data)], dtype=U64)])
+        """64-bit hashes of byte ranges: eight bytes at a time are mixed in, so no sum of places can be made to vanish."""
+        size = end - start
+        h = size.astype(U64) * PLACE[15] if len(size) else np.zeros(0, U64)
+        live, k = np.flatnonzero((size > 0) & (size <= LONG)), 0
         with np.errstate(over="ignore"):
-            x = (self._prefix[end] - self._prefix[start]) * _power("down", len(self.data) + 1)[start]
-            return mix(x + (end - start).astype(U64) * PLACE[15])
+            while len(live):
+                left = size[live] - k
+                block = self.blocks[start[live] + k] & MASKS[np.minimum(left, 8)]
+                h[live] = mix((h[live] ^ block) + PLACE[14])
+                live, k = live[left > 8], k + 8
+        for i in np.flatnonzero(size > LONG).tolist():
+            h[i] = int.from_bytes(hashlib.blake2b(self.data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+        return h
 
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Byte start and end of each word, and how many words come before each text (n + 1 numbers)."""
