@@ -42,30 +42,34 @@ def star_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 EDGES_A_TASK = 1_000_000
 
 
-def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges as stars (root, id), a root with itself too; works off a bounded number of edges at a time."""
-    held: list[np.ndarray] = []
-
-    def stars() -> np.ndarray:
-        e = np.concatenate(held)
-        ids, at = np.unique(e, return_inverse=True)
-        at = at.reshape(e.shape)
-        return np.column_stack([ids[star_labels(len(ids), at[:, 0], at[:, 1])], ids])
-
-    size = 0
-    for b in batches:
-        if b.num_rows:
-            held.append(np.column_stack([b.column(0).to_numpy(), b.column(1).to_numpy()]))
-            size += b.num_rows
-        if size > 2 * EDGES_A_TASK:
-            held = [stars()]
-            size = len(held[0])
-            if size > EDGES_A_TASK:
-                yield pa.RecordBatch.from_arrays([pa.array(held[0][:, 0]), pa.array(held[0][:, 1])], schema=EDGES)
-                held, size = [], 0
-    if held:
-        e = stars()
-        yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], schema=EDGES)
+def _contract(most: int):
+    """Task function: edges as stars (root, id), a root with itself too; works off about `most` edges at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def stars() -> np.ndarray:
+            e = np.concatenate(held)
+            ids, at = np.unique(e, return_inverse=True)
+            at = at.reshape(e.shape)
+            return np.column_stack([ids[star_labels(len(ids), at[:, 0], at[:, 1])], ids])
+
+        size = 0
+        for b in batches:
+            if b.num_rows:
+                held.append(np.column_stack([b.column(0).to_numpy(), b.column(1).to_numpy()]))
+                size += b.num_rows
+            if size > 2 * most:
+                held = [stars()]
+                size = len(held[0])
+                if size > most:
+                    yield pa.RecordBatch.from_arrays([pa.array(held[0][:, 0]), pa.array(held[0][:, 1])], schema=EDGES)
+                    held, size = [], 0
+        if held:
+            e = stars()
+            yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], schema=EDGES)
+
+    return run
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -78,7 +82,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     e = written(e, "edges")
     while True:
         tasks = 1 + e.count() // EDGES_A_TASK
-        e = written(e.coalesce(tasks).mapInArrow(_contract, "u long, v long"), "stars")
+        e = written(e.coalesce(tasks).mapInArrow(_contract(EDGES_A_TASK), "u long, v long"), "stars")
         if tasks == 1:
             return e.select(F.col("v").alias("id"), F.col("u").alias("root"))
         # Settled: every id has one root and each root is its own.
