@@ -39,17 +39,41 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{RUN}/{uuid.uuid4().hex}/{name}"
 
 
+#: Removes the shuffle files of a query once it is over.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a committed Parquet table in the shared folder, read again: cuts the lineage and survives lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """`df` as a committed Parquet table in the shared folder, read again: cuts the lineage and survives lost executors.
+
+    Shuffle files that only served to make it go at once.
+    """
+    spark = df.sparkSession
+    path, before = new_path(spark, name), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that `written` returned; all that was made of them must be written itself."""
+    for t in tables:
+        _delete(t.sparkSession, t.written_at.rpartition("/")[0])
 
 
 def clear_written(spark: SparkSession) -> None:
     """Removes all tables that this process wrote to the shared folder; results not yet collected or written are lost with them."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{RUN}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{shared_dir(spark)}/{RUN}")
 
 
 def lower_ascii(c: Column) -> Column:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
@@ -82,7 +82,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     e = written(e, "edges")
     while True:
         tasks = 1 + e.count() // EDGES_A_TASK
-        e = written(e.coalesce(tasks).mapInArrow(_contract(EDGES_A_TASK), "u long, v long"), "stars")
+        before, e = e, written(e.coalesce(tasks).mapInArrow(_contract(EDGES_A_TASK), "u long, v long"), "stars")
+        discard(before)
         if tasks == 1:
             return e.select(F.col("v").alias("id"), F.col("u").alias("root"))
         # Settled: every id has one root and each root is its own.
@@ -95,4 +96,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(low, "v")
         small = small.select(F.col("m").alias("u"), F.col("u").alias("v")).unionByName(small.select(F.col("m").alias("u"), "v"))
-        e = written(small.dropDuplicates(), "small")
+        before, e = e, written(small.dropDuplicates(), "small")
+        discard(before, large)
