@@ -380,6 +380,31 @@ def test_pii_copies_keep_verdicts(spark):
     assert all(dict(got)[i] == plain[i] for i in plain) and "springfield" in plain[400] and dict(got)[1399] == plain[400]
 
 
+def test_pii_long_matches_and_many(spark):
+    many = "".join(f"q{i}@ab.cd 10.0.{i % 300}.1 +1 (988) 555-{i % 9000 + 1000} 4111 1111 1111 1111 x, " for i in range(25_000))
+    texts = ["mail a@b" + ".cd" * 1_000_000 + " end", many, "é" * 5000 + " ä@b.c q@r.st " + "ß" * 9000 + " z@y.xw"]
+    found = op5.find_pii(table(spark, [(i, t, None) for i, t in enumerate(texts)]), context=None)
+    got = {r.doc_id: r for r in op5.sanitise(found).select("doc_id", op5.digest(F.col("base")).alias("s"), "clean_text").collect()}
+    for i, t in enumerate(texts):
+        assert got[i].s == ",".join(base_spans(t))
+    assert got[0].clean_text == "mail [EMAIL] end"
+    assert got[1].clean_text.count("[EMAIL]") == 25_000 and "@" not in got[1].clean_text and "10.0.299.1" in got[1].clean_text
+    assert got[2].clean_text == "é" * 5000 + " ä@b.c [EMAIL] " + "ß" * 9000 + " [EMAIL]"
+
+
+def test_pii_secrets(spark):
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    rows = [(1, f'some text token = "{key}" and more', None), (2, "Donaudampfschifffahrtsgesellschaftskapitaen 12345678901234567890123 aaaaaaaaaaaaaaaa1111", None)]
+    rows += [(3, f"{key}@mail.example.com x@{key}.com {key}/path /{key} {key}. End", None), (4, None, None)]
+    out = {r.doc_id: r for r in op5.sanitise(op5.find_pii(table(spark, rows), context=None)).collect()}
+    assert [(s["start"], s["end"], s["value"]) for s in out[1].secrets] == [(19, 59, key)] and "[SECRET]" in out[1].clean_text and key not in out[1].clean_text
+    assert out[2].secrets == [] and out[2].clean_text is None and out[4].secrets == []
+    t = rows[2][1]
+    assert [(s["start"], s["end"]) for s in out[3].secrets] == [(t.rindex(key), t.rindex(key) + 40)] and len(out[3].base) == 2
+    spans = sorted((s["start"], s["end"]) for s in out[3].base + out[3].secrets + out[3].terms)
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
 # 6 -------------------------------------------------------------------------------------------------
 
 
