@@ -86,14 +86,16 @@ def mix_copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int =
     an id like others; repeated rows count each.  Documents without words get copies that take nothing.
     An empty table gives no rows.  Columns beside the three are ignored.
     """
-    rec = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "sizes")
+    rec = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    # Rows without an id are told apart by their place, so that they too are ranked in chunks.
+    rec = written(rec.withColumn("place", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())), "sizes")
     hist = written(rec.groupBy("source", "size").agg(F.count("*").alias("n")), "histogram")
     goals = written(source_targets(hist.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), weights, cap), "targets")
     dual = _rates(hist, goals, cap)
     rate = F.least(F.lit(float(cap)), F.exp(F.col("lam") * F.when(F.col("l.size") > 0, F.col("l.size") / (F.col("l.size") + F.col("mean"))).otherwise(0.0)))
     rates = hist.alias("l").join(dual.alias("r"), _same("source", "source")).select("l.source", "l.size", "l.n", "r.source_size", "r.target", rate.alias("rate"))
     chunks = F.ceil(F.col("r.n") / CHUNK).cast("long")
-    rec = rec.alias("l").join(rates.alias("r"), _same("source", "source") & (F.col("l.size") == F.col("r.size"))).select("l.*", "r.source_size", "r.target", "r.rate", F.pmod(F.xxhash64("l.doc_id"), chunks).alias("chunk"))
+    rec = rec.alias("l").join(rates.alias("r"), _same("source", "source") & (F.col("l.size") == F.col("r.size"))).select("l.*", "r.source_size", "r.target", "r.rate", F.pmod(F.xxhash64("l.doc_id", "l.place"), chunks).alias("chunk"))
     rec = written(rec, "rated")
     part = rec.groupBy("source", "size", "chunk").agg(F.count("*").alias("m"), F.first("rate").alias("rate"), F.first("target").alias("target"))
     run = Window.partitionBy("source").orderBy(F.desc("size"), "chunk").rowsBetween(Window.unboundedPreceding, 0)
@@ -118,7 +120,7 @@ def mix_copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int =
         part = part.alias("l").join(best.alias("r"), _same("source", "source") & (F.col("l.size") == F.col("p.size")) & (F.col("l.chunk") == F.col("p.chunk")), "left")
         part = written(part.select("l.source", "l.size", "l.chunk", "l.m", (F.col("l.copies") + F.coalesce("p.by", F.lit(0))).alias("copies"), "l.target"), f"fixed{k}")
     part = part.withColumn("base", F.floor(F.col("copies") / F.col("m"))).withColumn("extra", F.col("copies") - F.col("base") * F.col("m"))
-    rec = rec.withColumn("k", F.row_number().over(Window.partitionBy("source", "size", "chunk").orderBy(F.xxhash64(F.lit(5), F.col("doc_id")), "doc_id")))
+    rec = rec.withColumn("k", F.row_number().over(Window.partitionBy("source", "size", "chunk").orderBy(F.xxhash64(F.lit(5), F.col("doc_id")), "doc_id", "place")))
     rec = rec.alias("l").join(part.alias("r"), _same("source", "source") & (F.col("l.size") == F.col("r.size")) & (F.col("l.chunk") == F.col("r.chunk")))
     copies = F.col("base") + F.when(F.col("k") <= F.col("extra"), 1).otherwise(0)
     return rec.select("l.doc_id", "l.source", "l.size", "l.source_size", "l.target", "l.rate", copies.cast("int").alias("copies"))
@@ -127,13 +129,31 @@ def mix_copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int =
 def mix_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """The mix itself: each row as often as its copies say, columns unchanged.
 
-    Rows that share id, source and size all get the largest of their copies.
+    Rows that share id, source and size share what `mix_copies` gives them all: each gets the same
+    number of copies and some of them one more, so the words that come out are the words taken.
     """
     own = docs.columns
-    c = mix_copies(docs, weights, cap, id_col, source_col, text_col).groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies")).filter("copies > 0")
-    on = F.col(f"l.{id_col}").eqNullSafe(F.col("r.doc_id")) & F.col(f"l.{source_col}").eqNullSafe(F.col("r.source")) & (F.col("r.size") == word_count(F.col(f"l.{text_col}")))
-    out = docs.alias("l").join(c.alias("r"), on)
-    return out.select(*[F.col(f"l.{x}") for x in own], F.explode(F.sequence(F.lit(1), F.col("r.copies"))).alias("__copy")).drop("__copy")
+    of = mix_copies(docs, weights, cap, id_col, source_col, text_col).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
+    of = written(of.filter("copies > 0"), "copies")
+    size = word_count(F.col(f"l.{text_col}"))
+    on = F.col(f"l.{id_col}").eqNullSafe(F.col("r.doc_id")) & F.col(f"l.{source_col}").eqNullSafe(F.col("r.source")) & (F.col("r.size") == size)
+    row = [F.col(f"l.{x}") for x in own]
+    many = lambda n: F.explode(F.sequence(F.lit(1), n)).alias("__copy")
+    out = docs.alias("l").join(of.filter("rows = 1").alias("r"), on).select(*row, many(F.col("r.copies"))).drop("__copy")
+    several = of.filter("rows > 1")
+    if several.isEmpty():
+        return out
+    # Rows of one key are numbered by what they hold and the part of the table they came in, parts being counted on top.
+    tag = [F.xxhash64(F.to_json(F.struct(*row))), F.xxhash64(F.lit(1), F.to_json(F.struct(*row)))]
+    part = docs.alias("l").join(several.alias("r"), on).select(F.struct(*[c.alias(x) for c, x in zip(row, own, strict=True)]).alias("row"), "r.copies", "r.rows", F.xxhash64("r.doc_id", "r.source", "r.size").alias("key"), tag[0].alias("t1"), tag[1].alias("t2"), F.spark_partition_id().alias("part"))
+    part = written(part, "repeated")
+    sizes = part.groupBy("key", "part").agg(F.count("*").alias("n"))
+    ahead = F.coalesce(F.sum("n").over(Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    part = part.join(sizes.select("key", "part", ahead.alias("ahead")), ["key", "part"])
+    part = part.withColumn("k", F.col("ahead") + F.row_number().over(Window.partitionBy("key", "part").orderBy("t1", "t2")))
+    each = F.floor(F.col("copies") / F.col("rows")) + F.when(F.col("k") <= F.col("copies") % F.col("rows"), 1).otherwise(0)
+    part = part.withColumn("each", each).filter("each > 0").select("row", many(F.col("each"))).select("row.*")
+    return out.unionByName(part)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -136,7 +136,8 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[c.alias(k) for k, c in carry.items()])
     docs = whole.select("doc_id", "text")
     order, cuts = _frequency_classes(docs, size)
-    names = ["doc_id", "n", "f", "prefix", "hot", "cuts", *carry]
+    carried = list(carry)
+    names = ["doc_id", "n", "f", "prefix", "hot", "cuts", *carried]
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
@@ -158,7 +159,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 often.append(u[top[into > 1]].view(np.int64))
                 lists.append(into[into > 1])
             long = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(f, pa.int64()), pa.array(p, long), pa.array(often, long), pa.array(lists, pa.list_(pa.int32())), *(b.column(k) for k in carry)], names)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(f, pa.int64()), pa.array(p, long), pa.array(often, long), pa.array(lists, pa.list_(pa.int32())), *(b.column(k) for k in carried)], names)
 
     more = "".join(f", `{k}` {whole.schema[k].dataType.simpleString()}" for k in carry)
     found = written(whole.mapInArrow(prefixes, "doc_id long, n long, f long, prefix array<long>, hot array<long>, cuts array<int>" + more), "prefixes")

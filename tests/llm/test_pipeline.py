@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import os
+from collections import Counter
 
 import pytest
 
 import corpus_pipeline
 from tabulon.llm.op2_line_dedup import dedup_lines
 from tabulon.llm.op3_quality import judge, model_for
+from tabulon.llm.op4_mixing import mix_copies
 from tabulon.llm.op8_jaccard_join import jaccard_components
 
 SF = "/root/testdata/sf0.001"
@@ -38,3 +40,30 @@ def test_stages(spark):
     assert {r.doc_id for r in b.collect()} <= {r.doc_id for r in a.collect()}
     a, b = seen["packing"]
     assert b.filter("piece = 0").count() == a.count()
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, k1 int, root string"
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(i, t, "en", s, 1, 1, "x") for i, t, s in rows], SCHEMA).repartition(3)
+
+
+def test_near_duplicates_keep_one_row_of_each_group(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    near = a + " more"
+    rows = [(3, a, "s"), (5, a, "s"), (5, b, "s"), (7, c, "s"), (7, c, "s"), (None, d, "s"), (None, d, "t"), (None, near, "s"), (9, None, "s"), (9, None, "s"), (None, " ", "s")]
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, table(spark, rows), SF).collect())
+    assert got == Counter([(3, a), (5, b), (7, c), (None, d), (9, None), (9, None), (None, " ")])
+    assert corpus_pipeline.near_duplicates(spark, table(spark, rows).limit(0), SF).collect() == []
+
+
+def test_mixing_takes_the_words_it_counts(spark):
+    rows = [(i % 40, " ".join(["w"] * (1 + i % 7)), "a") for i in range(200)] + [(None, "x y z", "b") for _ in range(60)] + [(1000 + i, " ".join(["v"] * (i % 50)), None) for i in range(150)] + [(1, "one two three", "a")] * 5
+    docs = table(spark, rows).cache()
+    taken, got = Counter(), Counter()
+    for r in mix_copies(docs).collect():
+        taken[r.doc_id, r.source, r.size] += r.copies
+    for r in corpus_pipeline.mixing(spark, docs, SF).collect():
+        got[r.doc_id, r.source, len((r.text or "").split())] += 1
+    assert got == +taken
