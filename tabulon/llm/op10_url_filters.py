@@ -103,13 +103,19 @@ with recursive p as (
     case when contains(url, '://') then regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) else '' end as path
   from pages
 ), r as (select * from (values ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')) t(v, h, pre)),
-e as (
-  select page_id, regexp_replace(url, '#.*$', '') as a,
-    regexp_replace(replace(t, '&amp;', '&'), '#.*$', '') as b
+e0 as (
+  select page_id, url, replace(t, '&amp;', '&') as t, regexp_extract(url, '^([^:]*):', 1) as scheme, regexp_extract(url, '^[^:]*://[^/?#]*') as root,
+    regexp_extract(url, '^[^:]*://[^/?#]*(?:/(?:[^?#]*/)?)?') as folder
   from (select page_id, url, unnest(list_concat(
       list_transform(regexp_extract_all(coalesce(html, ''), '(?i)<link\b[^<>]*\brel\s*=\s*["'']?canonical\b[^<>]*>'), lambda x: regexp_extract(x, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)),
       list_transform(regexp_extract_all(coalesce(html, ''), '(?i)<meta\b[^<>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^<>]*>'), lambda x: regexp_extract(x, '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1)))) as t
     from pages where contains(url, '://')) where t <> ''
+), e1 as (
+  select regexp_replace(url, '#.*$', '') as a, regexp_replace(case when regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') then t when starts_with(t, '//') then scheme || ':' || t
+    when starts_with(t, '/') then root || t else case when ends_with(folder, '/') then folder else folder || '/' end || t end, '#.*$', '') as b from e0
+), e2 as (select a, b, regexp_extract(a, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*') as ha, regexp_extract(b, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*') as hb from e1),
+e as (
+  select translate(ha, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || substr(a, length(ha) + 1) as a, translate(hb, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || substr(b, length(hb) + 1) as b from e2
 ), n as (select a, b from e union select b, a from e),
 reach as (select a, b from n union select reach.a, n.b from reach join n on reach.b = n.a),
 j as (
@@ -125,5 +131,6 @@ j as (
 )
 select p.page_id, coalesce(p.host, '') as host, coalesce(p.path, '') as path, own.rule,
   coalesce(own.v, case when g.allowed then 'allow' when g.blocked then 'block' end, 'allow') as verdict
-from p left join own using (page_id) left join g on g.a = regexp_replace(p.url, '#.*$', '')
+from (select *, regexp_replace(url, '#.*$', '') as bare from p) p left join own using (page_id)
+  left join g on g.a = translate(regexp_extract(bare, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || substr(bare, length(regexp_extract(bare, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*')) + 1)
 """

@@ -2,8 +2,8 @@
 
 Records are keyed by the hash of their text, so equal texts lie side by side.  A size-weighted key
 sample of bounded size gives quantile splitters for many fine ranges; exact byte counts of the
-ranges follow, and ranges that came out overfull (a hot group of equal texts, an unlucky sample)
-are subdivided by the hash of the id.  Byte offsets run through the ranges in key order: totals of
+ranges follow, and ranges that came out overfull are subdivided: a hot group of equal texts by the
+hash of the id, all other groups whole, by another hash of the text.  Byte offsets run through the ranges in key order: totals of
 the ranges on top (a bounded table), a window inside each small range.  The offset decides the
 shard, so sizes are near equal whatever the sample held.  The law is `bytes`.
 """
@@ -17,18 +17,19 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Expected size of the key sample, and fine ranges for each shard.
-SAMPLE, RANGES_PER_SHARD = 16_384, 64
-#: A group of equal texts of up to this share of a shard stays in one shard.
+#: Bytes in a fine range, the least and the most ranges there are, and sampled keys for each range.
+RANGE_BYTES, RANGES, MOST_RANGES, SAMPLED = 1 << 28, 512, 16_384, 32
+#: A group of equal texts of up to this share of a shard stays in one shard; a larger one may be split.
 WHOLE_GROUP = 0.01
 
 
-def assign_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
+def assign_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> DataFrame:
     """One row per record: doc_id, size, text_crc32, shard, slot.
 
     Size is the UTF-8 bytes of the text plus 1 (a null text: 1, with CRC 0).  A null id is a key like
     any other; repeated rows count each.  Columns beside id and text are ignored.  An empty table
-    gives no rows.  Slots run from 0 in each shard, in key order.  Reruns give the same shards.
+    gives no rows.  Slots run from 0 in each shard, in key order.  Reruns give the same shards.  The number
+    of ranges follows the bytes there are, within fixed bounds.
     """
     t = F.coalesce(F.col(text_col), F.lit(""))
     rec = docs.select(
@@ -40,7 +41,8 @@ def assign_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text
     )
     rec = written(rec, "records")
     total = rec.agg(F.sum("size")).first()[0] or 1
-    ranges = shards * RANGES_PER_SHARD
+    ranges = ranges or min(MOST_RANGES, max(RANGES, total // RANGE_BYTES))
+    sample = SAMPLED * ranges
     # A record is drawn with a chance in proportion to its size, by a hash of its own: reruns agree.
     lot = F.shiftrightunsigned(F.xxhash64("g", "h"), 11).cast("double") / float(1 << 53)
     drawn = rec.filter(lot < F.col("size") * (sample / total)).select("h")
@@ -54,12 +56,18 @@ def assign_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text
     rec = rec.withColumn("r", range_of("h"))
     most = 4 * max(1, total // ranges)
     fill = rec.groupBy("r").agg(F.sum("size").alias("b"))
-    fill = fill.select("r", F.ceil(F.col("b") / most).cast("long").alias("parts"))
-    # At most ranges rows, so the broadcast is bounded.
-    rec = rec.join(F.broadcast(fill), "r").withColumn("part", F.when(F.col("parts") > 1, F.pmod(F.shiftright("g", 20), F.col("parts"))).otherwise(F.lit(0)))
-    rec = rec.withColumn("one", F.col("parts") == 1)
+    fill = written(fill.select("r", F.ceil(F.col("b") / most).cast("long").alias("parts")), "fill")
+    # Groups of over half a part, of which there can be no more than ranges / 2; all rows of other groups go to one part.
+    over = F.broadcast(fill.filter("parts > 1"))
+    hot = rec.join(over, "r").groupBy("h").agg(F.sum("size").alias("b"))
+    hot = written(hot.filter(F.col("b") > most // 2).select("h", F.ceil(F.col("b") * 2 / most).cast("long").alias("pieces")), "hot")
+    rec = rec.join(F.broadcast(fill), "r").join(F.broadcast(hot), "h", "left")
+    by_text = F.when(F.col("parts") > 1, F.pmod(F.xxhash64(F.lit(9), F.col("h")), F.col("parts"))).otherwise(F.lit(0))
+    # Parts of a hot group follow those of its range; groups that meet in one are told apart by the order inside.
+    part = F.when(F.col("pieces").isNotNull(), F.col("parts") + F.pmod(F.shiftright("g", 20), F.col("pieces"))).otherwise(by_text)
+    rec = rec.withColumn("one", F.col("pieces").isNull()).withColumn("part", part)
 
-    # Bytes before each part: at most ranges + total/most rows, both bounded by the number of ranges.
+    # Bytes before each part: their number is bounded by the number of ranges, as parts and pieces of hot groups are.
     sums = rec.groupBy("r", "part").agg(F.sum("size").alias("b"))
     run = Window.orderBy("r", "part").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("r", "part", F.coalesce(F.sum("b").over(run), F.lit(0)).alias("before"))

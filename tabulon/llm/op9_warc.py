@@ -163,9 +163,11 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     p = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), html.alias("html"))
     digest = F.when(F.octet_length("html") >= LEAST_REVISIT, F.sha1(F.col("html").cast("binary")))
     best = p.select("page_id", digest.alias("sha")).filter("sha is not null and page_id is not null").groupBy("sha").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).filter("n > 1").select("sha", "top")
-    rows = p.withColumn("sha", digest).join(best, "sha", "left")
+    # Small payloads are responses anyway and meet no join.
     refers = F.when(F.col("page_id") != F.col("top"), F.col("top"))
-    rows = rows.select("page_id", "url", "html", refers.alias("refers")).mapInArrow(_convert, "value string")
+    large = p.withColumn("sha", digest).filter("sha is not null").join(best, "sha", "left").select("page_id", "url", "html", refers.alias("refers"))
+    small = p.filter(F.octet_length("html") < LEAST_REVISIT).select("page_id", "url", "html", F.lit(None).cast("long").alias("refers"))
+    rows = large.unionByName(small).mapInArrow(_convert, "value string")
     rows.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 

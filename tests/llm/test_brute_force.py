@@ -491,6 +491,20 @@ def test_sharding(spark):
     assert op7.assign_shards(table(spark, rows).limit(0)).collect() == []
 
 
+def test_sharding_keeps_small_groups_whole(spark):
+    rows = [(i, "one hot text " * 3, "a") for i in range(3000)] + [(10_000 + i, f"group {i // 4} of four equal texts", "b") for i in range(6000)]
+    got = op7.assign_shards(table(spark, rows), 8).collect()
+    text = {i: t for i, t, _ in rows}
+    homes: dict = {}
+    for r in got:
+        homes.setdefault(text[r.doc_id], set()).add(r.shard)
+    assert all(len(v) == 1 for t, v in homes.items() if t.startswith("group"))
+    sizes = Counter()
+    for r in got:
+        sizes[r.shard] += r.size
+    assert len(got) == len(rows) and max(sizes.values()) - min(sizes.values()) <= 0.03 * sum(sizes.values()) / 8
+
+
 def test_write_shards(spark, tmp_path):
     rows = [r for r in corpus(n=50)]
     op7.write_shards(table(spark, rows), str(tmp_path / "s"), 4)
@@ -617,3 +631,22 @@ def test_urls(spark):
     hosts = {r.page_id: (r.host, r.path) for r in got}
     assert hosts[2] == ("www.example.com", "/en/70") and hosts[10] == ("", "") and hosts[14] == ("a.org", "")
     assert op10.judge_urls(pages(spark, [r[:3] for r in rows]).limit(0)).collect() == []
+
+
+def test_urls_against_sql(spark):
+    """Chains, hubs, relative and canonical links, fragments, upper-case hosts, allow before block in a group."""
+    import duckdb
+
+    link = lambda to: f'<html><link rel="canonical" href="{to}"></html>'
+    meta = lambda to: f'<meta http-equiv="refresh" content="0; url={to}">'
+    rows = [(i, f"http://chain.io/{i}", meta(f"/{i + 1}")) for i in range(30)] + [(30, "http://chain.io/30", link("http://bad.org/es/x"))]
+    rows += [(100 + i, f"http://hub.io/a/{i}#f", link("HTTP://Hub.IO/centre")) for i in range(40)] + [(140, "http://hub.io/centre", meta("//www.example.net/de/1"))]
+    rows += [(200, "http://both.io/x/", link("../y?a=1&amp;b=2")), (201, "http://both.io/x/../y?a=1&b=2", link("http://m.org/es/1")), (202, "http://BOTH.io/x/", meta("http://sub.net/de/2")), (203, "http://both.io?q", link("rel"))]
+    rows += [(300, "http://m.org/es/1", None), (301, None, link("http://m.org/es/1")), (302, "nothing", meta("x")), (303, "http://www.example.com/en/7", ""), (304, "http://a.com/en/7", None), (304, "http://a.com/en/7", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = Counter(tuple(r) for r in op10.judge_urls(df).select("page_id", "host", "path", "rule", "verdict").collect())
+    pages = df.distinct().toPandas()  # noqa: F841
+    want = {tuple(None if x != x else x for x in r) for r in duckdb.sql(op10.OP10_SQL).fetchall()}
+    assert set(got) == want and sum(got.values()) == len(rows)
+    by = {r[0]: r[4] for r in want}
+    assert by[0] == by[30] == "block" and by[100] == by[140] == "allow" and by[201] == by[200] == "allow" and by[302] == "allow"
