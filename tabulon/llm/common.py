@@ -39,8 +39,8 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{RUN}/{uuid.uuid4().hex}/{name}"
 
 
-#: Removes the shuffle files of a query once it is over.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings while a table is written: shuffle files of a query go once it is over, and Python workers get batches of few bytes.
+SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -49,12 +49,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     Shuffle files that only served to make it go at once.
     """
     spark = df.sparkSession
-    path, before = new_path(spark, name), spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    path, before = new_path(spark, name), {k: spark.conf.get(k) for k in SETTINGS}
+    for k, v in SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
     return out

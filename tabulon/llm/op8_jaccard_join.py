@@ -37,7 +37,7 @@ WORDS, NUM, DEN = 5, 3, 4
 BITS, CHUNK_BITS = 22, 14
 #: Neighbours looked at in a list, candidates of a class that are checked at once, classes and shingles in a group (one longer
 #: set is a group of its own), and entries of a frequent shingle's list that one task sorts.
-LAGS, BEST, GROUP, GROUP_SHINGLES, LIST = 8, 4, 128, 1 << 17, 4096
+LAGS, BEST, GROUP, GROUP_SHINGLES, LIST = 8, 4, 128, 1 << 15, 4096
 #: Bits of the filter that picks the texts to read again.
 FILTER_BITS = 23
 NO_ID = (1 << 63) - 1
@@ -71,20 +71,14 @@ def _frequency_classes(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarr
     step = 1 << CHUNK_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bins, held, many = np.zeros(1 << BITS, np.int32), [], 0
+        bins = np.zeros(1 << BITS, np.int32)
         for b in batches:
             column = b.column("text")
             for lo, hi in slices(column):
                 t = Texts(column.slice(lo, hi - lo), lower=True)
                 start, end, first = t.words()
                 h, _ = shingles(t.hashes(start, end), first, size)
-                held.append((h >> U64(64 - BITS)).astype(np.int32))
-                many += len(h)
-                if many > 1 << 22:
-                    bins += np.bincount(np.concatenate(held), minlength=1 << BITS).astype(np.int32)
-                    held, many = [], 0
-        if held:
-            bins += np.bincount(np.concatenate(held), minlength=1 << BITS).astype(np.int32)
+                np.add.at(bins, (h >> U64(64 - BITS)).astype(np.int64), 1)
         for k in range(len(bins) // step):
             part = bins[k * step : (k + 1) * step]
             if part.any():
