@@ -102,6 +102,49 @@ def isscalar(a) -> Column:
     return F.size(col(a)) == 1
 
 
+def isrow(a) -> Column:
+    """An array is a row; a null is not."""
+    return col(a).isNotNull()
+
+
+def iscolumn(a) -> Column:
+    return F.size(col(a)) == 1
+
+
+def isvector(a) -> Column:
+    return F.size(col(a)) >= 1
+
+
+def ismatrix(a) -> Column:
+    return col(a).isNotNull()
+
+
+def ndims(a) -> Column:
+    return F.when(col(a).isNotNull(), F.lit(2))
+
+
+def permute(a, order) -> Column:
+    """A nested array with its dimensions in another order: [1, 2] or [2, 1]."""
+    if sorted(order) != [1, 2]:
+        raise ValueError("order must be a permutation of [1, 2]")
+    m = col(a)
+    if list(order) == [1, 2]:
+        return m
+    across = F.sequence(F.lit(0), F.greatest(F.size(F.get(m, F.lit(0))) - 1, F.lit(0)))
+    return F.when(F.size(m) > 0, F.transform(across, lambda j: F.transform(m, lambda row: F.get(row, j)))).otherwise(m)
+
+
+def ipermute(a, order) -> Column:
+    """Undoes `permute`."""
+    return permute(a, [list(order).index(k) + 1 for k in (1, 2)])
+
+
+def squeeze(a) -> Column:
+    """The only page of an array of pages."""
+    m = col(a)
+    return F.when(F.size(m) == 1, F.get(m, F.lit(0)))
+
+
 def find(a) -> Column:
     """1-based places of nonzero values."""
     return F.filter(F.transform(col(a), lambda x, i: F.when(x != 0, i + 1)), lambda x: x.isNotNull())

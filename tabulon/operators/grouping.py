@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from tabulon.functions.elementwise import INF, NAN, finite, num
 from tabulon.functions.special import tinv_
+from tabulon.operators.table import number_rows
 
 
 def _ok(x: Column) -> Column:
@@ -108,8 +109,7 @@ def accumarray(df: DataFrame, groups: Sequence[str], value: str, method: str = "
 
 def findgroups(df: DataFrame, keys: Sequence[str], name: str = "group") -> DataFrame:
     """Adds 1-based numbers of the sorted groups; numbering runs over the distinct keys only."""
-    ids = df.select(*keys).dropDuplicates()
-    ids = ids.withColumn(name, F.row_number().over(Window.orderBy(*keys)))
+    ids = number_rows(df.select(*keys).dropDuplicates(), keys, name)
     on = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
     return df.alias("l").join(ids.alias("r"), on).select("l.*", f"r.{name}")
 

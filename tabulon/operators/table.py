@@ -154,6 +154,43 @@ def isordinal(df: DataFrame, c: str) -> bool:
     return bool(df.schema[c].metadata.get("ordinal"))
 
 
+def class_of(df: DataFrame, c: str) -> str:
+    """The class name of a variable."""
+    kind = df.schema[c].dataType
+    if iscategorical(df, c):
+        return "categorical"
+    names = {T.DoubleType: "double", T.FloatType: "single", T.ByteType: "int8", T.ShortType: "int16", T.IntegerType: "int32", T.LongType: "int64", T.DecimalType: "double", T.BooleanType: "logical", T.StringType: "string"}
+    names |= {T.CharType: "char", T.VarcharType: "char", T.TimestampType: "datetime", T.TimestampNTZType: "datetime", T.DateType: "datetime", T.DayTimeIntervalType: "duration", T.StructType: "struct", T.MapType: "dictionary", T.ArrayType: "cell", T.BinaryType: "uint8"}
+    return next((v for k, v in names.items() if type(kind) is k), kind.simpleString())
+
+
+def isa(df: DataFrame, c: str, kind: str) -> bool:
+    """Whether a variable has a class, or belongs to numeric, float or integer."""
+    name = class_of(df, c)
+    return {"numeric": isnumeric(df, c), "float": name in ("double", "single"), "integer": "int" in name}.get(kind, name == kind)
+
+
+def ischar(df: DataFrame, c: str) -> bool:
+    return class_of(df, c) == "char"
+
+
+def isstring(df: DataFrame, c: str) -> bool:
+    return class_of(df, c) == "string"
+
+
+def iscell(df: DataFrame, c: str) -> bool:
+    return class_of(df, c) == "cell"
+
+
+def iscellstr(df: DataFrame, c: str) -> bool:
+    return iscell(df, c) and isinstance(df.schema[c].dataType.elementType, T.StringType)
+
+
+def isreal(df: DataFrame, c: str) -> bool:
+    """Numbers, truth values and text are real; complex values are structs here."""
+    return isnumeric(df, c) or islogical(df, c) or isstring(df, c) or ischar(df, c)
+
+
 def fieldnames(df: DataFrame) -> list[str]:
     return df.columns
 

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from tabulon.functions.elementwise import INF, NAN, finite, num
 
-#: Rows of the key sample behind range cuts, and ranges at most.
-SAMPLE, RANGES = 4096, 64
+#: Rows of the key sample behind range cuts, and ranges at most; within these bounds the shuffle partitions decide.
+SAMPLE, RANGES = 16_384, 512
 
 
 def spread(df: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -251,19 +251,35 @@ def filloutliers(df: DataFrame, column: str, method: str, order: Sequence[str],
 
 
 def interp1(points: DataFrame, queries: DataFrame, x: str, y: str, q: str, method: str = "linear", groups: Sequence[str] = (), extrapolate: bool = False) -> DataFrame:
-    """Values at query places, an as-of join on both sides: one union, one sort, two fills.
+    """Values at query places, an as-of join on both sides: one union, two running fills.
 
     linear, nearest (halves go up), previous, next; NaN outside the points unless extrapolated (linear).
     """
     a = points.select(*groups, num(x).alias("__x"), num(y).alias("__y"), F.lit(0).alias("__q"))
     b = queries.select(*groups, num(q).alias("__x"), F.lit(None).cast("double").alias("__y"), F.lit(1).alias("__q"))
-    u = a.unionByName(b)
-    w = Window.partitionBy(*groups).orderBy("__x", "__q") if groups else Window.orderBy("__x", "__q")
-    at = F.when(F.col("__q") == 0, F.struct(F.col("__x").alias("x"), F.col("__y").alias("y")))
-    u = u.withColumn("__at", at).withColumn("__p", F.last("__at", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__n", F.first("__at", True).over(w.rowsBetween(0, Window.unboundedFollowing)))
-    if extrapolate:
-        u = u.withColumn("__pp", F.last(F.when(F.col("__q") == 0, F.lag("__p").over(w)), True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        u = u.withColumn("__nn", F.first(F.when(F.col("__q") == 0, F.lead("__n").over(w)), True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    u = a.unionByName(b).withColumn("__at", F.when(F.col("__q") == 0, F.struct(F.col("__x").alias("x"), F.col("__y").alias("y"))))
+    near = lambda w: F.last("__at", True).over(w.rowsBetween(Window.unboundedPreceding, 0))  # noqa: E731  running both ways, so linear
+    if groups:
+        w = Window.partitionBy(*groups)
+        u = u.withColumn("__p", near(w.orderBy("__x", "__q"))).withColumn("__n", near(w.orderBy(F.desc("__x"), F.desc("__q"))))
+        if extrapolate:
+            ends = a.groupBy(*groups).agg(F.sort_array(F.collect_set("__x")).alias("__e"))
+            ends = a.join(ends.select(*groups, F.slice("__e", 1, 2).alias("__lo"), F.slice("__e", F.greatest(F.size("__e") - 1, F.lit(1)), F.lit(2)).alias("__hi")), list(groups))
+            ends = ends.groupBy(*groups).agg(*[F.max(F.when(F.col("__x") == F.get(side, F.lit(i)), F.struct(F.col("__x").alias("x"), F.col("__y").alias("y")))).alias(k) for k, side, i in (("__nn", "__lo", 1), ("__pp", "__hi", 0))])
+            u = u.join(ends, list(groups), "left")
+    else:
+        # Fills inside key ranges; what lies before and after a range comes from one row for each, RANGES at most.
+        w = Window.partitionBy("__r")
+        u = spread(u, ["__x", "__q"]).withColumnRenamed("__p", "__r")
+        u = u.withColumn("__p", near(w.orderBy("__x", "__q"))).withColumn("__n", near(w.orderBy(F.desc("__x"), F.desc("__q"))))
+        ends = u.groupBy("__r").agg(F.min("__at").alias("__lo"), F.max("__at").alias("__hi"))
+        up, down = Window.orderBy("__r"), Window.orderBy(F.desc("__r"))
+        ends = ends.select("__r", F.last("__hi", True).over(up.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"), F.last("__lo", True).over(down.rowsBetween(Window.unboundedPreceding, -1)).alias("__after"))
+        u = u.join(F.broadcast(ends), "__r").withColumn("__p", F.coalesce("__p", "__before")).withColumn("__n", F.coalesce("__n", "__after"))
+        if extrapolate:
+            point = a.filter(~F.isnan("__x")).groupBy("__x").agg(F.max("__y").alias("__y"))
+            pick = lambda rows: F.struct(F.lit(rows[1][0]).alias("x"), F.lit(rows[1][1]).alias("y")) if len(rows) > 1 else F.lit(None).cast("struct<x:double,y:double>")
+            u = u.withColumn("__nn", pick(point.orderBy("__x").limit(2).collect())).withColumn("__pp", pick(point.orderBy(F.desc("__x")).limit(2).collect()))
     u = u.filter("__q = 1")
     p, n, t = F.col("__p"), F.col("__n"), F.col("__x")
     line = lambda c, d: c["y"] + (d["y"] - c["y"]) * (t - c["x"]) / F.nullif(d["x"] - c["x"], F.lit(0.0))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabulon.plans import elementwise, strings, tables
+from tabulon.plans import elementwise, more, strings, tables
 
-QUERIES = tables.QUERIES | elementwise.QUERIES | strings.QUERIES
-SQL = tables.SQL | elementwise.SQL | strings.SQL
+QUERIES = tables.QUERIES | elementwise.QUERIES | strings.QUERIES | more.QUERIES
+SQL = tables.SQL | elementwise.SQL | strings.SQL | more.SQL

@@ -117,6 +117,14 @@ ARRAYS: dict[str, tuple] = {
     "numel": (lambda: a.numel("e"), "len(e)"),
     "isempty": (lambda: a.isempty("e"), "len(e) = 0"),
     "isscalar": (lambda: a.isscalar("e"), "len(e) = 1"),
+    "isrow": (lambda: a.isrow("e"), "true"),
+    "iscolumn": (lambda: a.iscolumn("e"), "len(e) = 1"),
+    "isvector": (lambda: a.isvector("e"), "len(e) >= 1"),
+    "ismatrix": (lambda: a.ismatrix("e"), "true"),
+    "ndims": (lambda: a.ndims("e"), "2"),
+    "permute": (lambda: a.permute(a.reshape("e", 8), [2, 1])[1][2].cast("double"), "e[18]::double"),
+    "ipermute": (lambda: a.ipermute(a.permute(a.reshape("e", 8), [2, 1]), [2, 1])[2][1].cast("double"), "e[18]::double"),
+    "squeeze": (lambda: a.squeeze(F.array(a.reshape("e", 8)))[2][1].cast("double"), "e[18]::double"),
     "find": (lambda: F.size(a.find(F.transform("e", lambda x: F.when(x > 0, 1).otherwise(0)))), "len(list_filter(e, lambda x: x > 0))"),
     "ind2sub": (lambda: a.ind2sub(F.col("k") + 1, 5)["column"], "k // 5 + 1"),
     "sub2ind": (lambda: a.sub2ind("n", F.col("n") + 1, 10), "n * 10 + n"),

@@ -473,9 +473,9 @@ QUERIES["o_setxor"] = lambda spark, sf: o.setxor(*_sets(spark, sf))
 SQL["o_setxor"] = "(select c_nationkey as k from customer except select s_nationkey + 5 from supplier) union all (select s_nationkey + 5 from supplier except select c_nationkey from customer)"
 
 
-@query("o_ismember", "select c_custkey, c_nationkey in (select s_nationkey from supplier where s_suppkey <= 10) as member, (select min(s_suppkey) from supplier where s_nationkey = c_nationkey and s_suppkey <= 10) as locb from customer")
+@query("o_ismember", "select c_custkey, c_nationkey in (select s_nationkey from supplier where s_acctbal < 2000) as member, (select min(s_suppkey) from supplier where s_nationkey = c_nationkey and s_acctbal < 2000) as locb from customer")
 def ismember(spark, sf):
-    b = read(spark, sf, "supplier").filter("s_suppkey <= 10").select(F.col("s_nationkey").alias("c_nationkey"), "s_suppkey")
+    b = read(spark, sf, "supplier").filter("s_acctbal < 2000").select(F.col("s_nationkey").alias("c_nationkey"), "s_suppkey")
     d = o.ismember(read(spark, sf, "customer").select("c_custkey", "c_nationkey"), b, ["c_nationkey"], ["s_suppkey"])
     return d.select("c_custkey", "member", F.col("locb.s_suppkey").alias("locb"))
 
@@ -624,12 +624,12 @@ def isoutlier(spark, sf):
     return w.isoutlier(read(spark, sf, "customer"), "c_acctbal", ["c_mktsegment"], 1.5).select("c_custkey", "outlier")
 
 
-@query("w_interp1", """with p as (select p_partkey::double as x, p_retailprice as y from part where p_partkey % 10 = 0), q as (select p_partkey::double as x from part)
+@query("w_interp1", """with p as (select p_partkey::double as x, p_retailprice as y from part where p_size >= 45), q as (select p_partkey::double as x from part)
   select q.x, round(case when a.x = q.x then a.y else coalesce(a.y + (b.y - a.y) * (q.x - a.x) / nullif(b.x - a.x, 0), 'nan') end, 6) + 0.0 as y from q
   left join p a on a.x = (select max(x) from p where p.x <= q.x) left join p b on b.x = (select min(x) from p where p.x >= q.x)""")
 def interp1(spark, sf):
     d = read(spark, sf, "part")
-    return rounded(w.interp1(d.filter("p_partkey % 10 = 0"), d.select(F.col("p_partkey").alias("q")), "p_partkey", "p_retailprice", "q").select(F.col("q").alias("x"), F.col("p_retailprice").alias("y")), 6)
+    return rounded(w.interp1(d.filter("p_size >= 45"), d.select(F.col("p_partkey").alias("q")), "p_partkey", "p_retailprice", "q").select(F.col("q").alias("x"), F.col("p_retailprice").alias("y")), 6)
 
 
 @query("w_asof_join", "select e.event_id, p.value as value from events e asof left join (select user_id, ts, value from events where event_type = 'purchase') p on e.user_id = p.user_id and e.ts >= p.ts where e.event_type <> 'purchase'")
@@ -643,19 +643,19 @@ def asof_join(spark, sf):
 _WORDS = "(select {k}, unnest(regexp_extract_all(lower(coalesce({t}, '')), '[\\p{{L}}\\p{{N}}]+(?:[''’][\\p{{L}}]+)*')) as word from {d})"
 
 
-@query("x_bag_of_words", "select item_id, word, count(*) as count from " + _WORDS.format(k="item_id", t="text", d="benchmark") + " group by 1, 2")
+@query("x_bag_of_words", "select doc_id, word, count(*) as count from " + _WORDS.format(k="doc_id", t="text", d="documents") + " group by 1, 2")
 def bag_of_words(spark, sf):
-    return tx.bag_of_words(read(spark, sf, "benchmark"), "item_id", "text")
+    return tx.bag_of_words(read(spark, sf, "documents"), "doc_id", "text")
 
 
-@query("x_bag_of_ngrams", "with w as (select item_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+(?:[''’][\\p{L}]+)*') as a from benchmark) select item_id, ngram, count(*) as count from (select item_id, unnest(list_transform(range(1, len(a)), lambda i: a[i] || ' ' || a[i + 1])) as ngram from w) group by 1, 2")
+@query("x_bag_of_ngrams", "with w as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+(?:[''’][\\p{L}]+)*') as a from documents) select doc_id, ngram, count(*) as count from (select doc_id, unnest(list_transform(range(1, len(a)), lambda i: a[i] || ' ' || a[i + 1])) as ngram from w) group by 1, 2")
 def bag_of_ngrams(spark, sf):
-    return tx.bag_of_ngrams(read(spark, sf, "benchmark"), "item_id", "text")
+    return tx.bag_of_ngrams(read(spark, sf, "documents"), "doc_id", "text")
 
 
-@query("x_vocabulary", "with w as (select item_id, unnest(a) as word, generate_subscripts(a, 1) as place from (select item_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+(?:[''’][\\p{L}]+)*') as a from benchmark)), v as (select word, min(item_id * 1000000 + place) as pos, count(*) as count from w group by 1) select word, row_number() over (order by pos) as \"index\", count from v")
+@query("x_vocabulary", "with w as (select doc_id, unnest(a) as word, generate_subscripts(a, 1) as place from (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+(?:[''’][\\p{L}]+)*') as a from documents)), v as (select word, min(doc_id * 1000000 + place) as pos, count(*) as count from w group by 1) select word, row_number() over (order by pos) as \"index\", count from v")
 def vocabulary(spark, sf):
-    return tx.vocabulary(read(spark, sf, "benchmark"), "item_id", "text")
+    return tx.vocabulary(read(spark, sf, "documents"), "doc_id", "text")
 
 
 @query("x_topkwords", "select word, count(*) as count from " + _WORDS.format(k="doc_id", t="text", d="documents") + " group by 1 order by 2 desc, 1 limit 10")
@@ -680,10 +680,10 @@ def sentiment(spark, sf):
     return tx.sentiment(read(spark, sf, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("k"), "text"), "k", "text")
 
 
-@query("x_word2ind", "with v as (select n_name as word, n_nationkey::double as index from nation where n_nationkey < 10) select n_nationkey, coalesce(v.index, 'nan') as index from nation left join v on n_name = word")
+@query("x_word2ind", "with v as (select n_name as word, n_nationkey::double as index from nation where n_name < 'J') select n_nationkey, coalesce(v.index, 'nan') as index from nation left join v on n_name = word")
 def word2ind(spark, sf):
     n = read(spark, sf, "nation")
-    v = n.filter("n_nationkey < 10").select(F.col("n_name").alias("word"), F.col("n_nationkey").alias("index"))
+    v = n.filter("n_name < 'J'").select(F.col("n_name").alias("word"), F.col("n_nationkey").alias("index"))
     return tx.word2ind(n, "n_name", v).select("n_nationkey", "index")
 
 
