@@ -27,7 +27,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 GATES = {"email": None, "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": r"\+[0-9]"}
-SECRET, SECRET_GATE, SECRET_BITS = r"(?<![A-Za-z0-9_./@%+-])[A-Za-z0-9_-]{20,}+(?![@%+/]|\.[A-Za-z0-9_@%+.-])", r"[A-Za-z0-9_-]{20}", 64.0
+SECRET, SECRET_GATE, SECRET_BITS = r"(?<![A-Za-z0-9_./@%+-])[A-Za-z0-9_-]{20,}+(?![@%+/]|\.[A-Za-z0-9_@%+.-])", r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20}", 64.0
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 #: Running folds go by parts of this many elements, so that a list of many spans is not gone through for each of them.
 PART = 128
