@@ -8,11 +8,15 @@ beyond BLOCK vectors are split into blocks and every pair of blocks is a task of
 stays bounded and no bucket is cut short.  Components of the forests give the result.
 
 With 12 projections of width 1.5, unit vectors at cosine 0.95 share a bucket of one table with
-probability 0.11, and of one of 40 tables with 0.99; at 0.98 with 0.99999.
+probability 0.11, and of one of 40 tables with 0.99; at 0.98 with 0.99999.  Unrelated vectors share a
+projection with probability 0.39, so buckets would fill as the input grows: the number of projections
+follows the logarithm of the number of classes, by which a vector meets as many unrelated ones of a
+table at every size, and the number of tables makes up for it, by which links are found as surely.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +28,8 @@ from .common import written
 from .components import connected_components, star_labels
 
 THRESHOLD, TABLES, PROJECTIONS, WIDTH, SEED = 0.95, 40, 12, 1.5, 20240131
+#: Classes for which these numbers of tables and projections stand.
+CLASSES = 10_000
 #: Vectors of a bucket, or of each side of a block pair, that a task compares at once.
 BLOCK = 2048
 
@@ -51,10 +57,22 @@ class Hasher:
 _hashers: dict[tuple, Hasher] = {}
 
 
-def hasher(dim: int, tables: int) -> Hasher:
-    if (dim, tables) not in _hashers:
-        _hashers[dim, tables] = Hasher(dim, tables)
-    return _hashers[dim, tables]
+def hasher(dim: int, tables: int, k: int) -> Hasher:
+    if (dim, tables, k) not in _hashers:
+        _hashers[dim, tables, k] = Hasher(dim, tables, k)
+    return _hashers[dim, tables, k]
+
+
+def collision(cosine: float, width: float = WIDTH) -> float:
+    """Probability that unit vectors of this cosine share one projection's cell."""
+    r = width / math.sqrt(2.0 - 2.0 * cosine)
+    return math.erf(r / math.sqrt(2.0)) - math.sqrt(2.0 / math.pi) / r * (1.0 - math.exp(-r * r / 2.0))
+
+
+def shape(classes: int, threshold: float = THRESHOLD, tables: int = TABLES) -> tuple[int, int]:
+    """(tables, projections) for a number of classes: unrelated vectors met by each, and links found, stay as they are at CLASSES."""
+    more = max(0, round(math.log(max(1, classes) / CLASSES) / -math.log(collision(0.0))))
+    return (math.ceil(tables * collision(threshold) ** -more) if threshold < 1 else tables), PROJECTIONS + more
 
 
 def _unit(raw: np.ndarray) -> np.ndarray:
@@ -90,13 +108,14 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(6)), pa.array(raw, pa.binary())], ["cls", "c", "c2", "mult", "low", "dim", "v"])
 
     classes = written(classes.mapInArrow(pack, "cls long, c long, c2 long, mult long, low long, dim int, v binary"), "classes")
+    tables, k = shape(classes.count(), threshold, tables)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cls, dims = b.column("cls").to_numpy(), b.column("dim").to_numpy()
             for d in np.unique(dims):
                 mine = np.flatnonzero(dims == d)
-                codes = hasher(int(d), tables).codes(_unit(_vectors(b.column("v").take(pa.array(mine)), int(d))))
+                codes = hasher(int(d), tables, k).codes(_unit(_vectors(b.column("v").take(pa.array(mine)), int(d))))
                 n = len(mine)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(cls[mine], tables)), pa.array(np.full(n * tables, d, np.int32)), pa.array(np.tile(np.arange(tables, dtype=np.int32), n)), pa.array(codes.ravel())], ["cls", "dim", "t", "code"])
 
@@ -119,9 +138,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                 b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
             marks = _groups(b)
             held = b.slice(marks[-2]) if len(marks) > 1 else b
-            yield from _compare(b, marks[:-1], threshold, tables)
+            yield from _compare(b, marks[:-1], threshold, tables, k)
         if held is not None and held.num_rows:
-            yield from _compare(held, _groups(held), threshold, tables)
+            yield from _compare(held, _groups(held), threshold, tables, k)
 
     links = written(met.mapInArrow(compare, "cls long, links long, root long"), "links")
     counts = links.filter("links > 0").groupBy("cls").agg(F.sum("links").alias("links"))
@@ -145,7 +164,7 @@ def _groups(b: pa.RecordBatch) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(change) + 1, [n]])
 
 
-def _compare(b: pa.RecordBatch, marks: np.ndarray, threshold: float, tables: int) -> Iterator[pa.RecordBatch]:
+def _compare(b: pa.RecordBatch, marks: np.ndarray, threshold: float, tables: int, k: int) -> Iterator[pa.RecordBatch]:
     cls, mult, dim, t, i, j, own = (b.column(c).to_numpy() for c in ("cls", "mult", "dim", "t", "i", "j", "own"))
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for lo, hi in zip(marks[:-1], marks[1:], strict=True):
@@ -163,7 +182,7 @@ def _compare(b: pa.RecordBatch, marks: np.ndarray, threshold: float, tables: int
         if not len(a):
             continue
         near = np.unique(np.concatenate([a, c]))
-        codes = hasher(int(dim[lo]), tables).codes(x[near])[:, : t[lo]]
+        codes = hasher(int(dim[lo]), tables, k).codes(x[near])[:, : t[lo]]
         a, c = np.searchsorted(near, a), np.searchsorted(near, c)
         new = np.ones(len(a), dtype=bool)
         for at in range(0, len(a), 65536):

@@ -100,6 +100,16 @@ def test_embedding_empty(spark):
     assert op1.near_duplicates(df).collect() == []
 
 
+def test_embedding_shape():
+    assert op1.shape(0) == op1.shape(10_000) == (op1.TABLES, op1.PROJECTIONS)
+    near, far = op1.collision(op1.THRESHOLD), op1.collision(0.0)
+    for n in (20_000, 10**6, 10**9):
+        tables, k = op1.shape(n)
+        assert 1 - (1 - near**k) ** tables >= 0.985  # links of the least cosine that are found
+        assert n * far**k <= 2 * 10_000 * far**op1.PROJECTIONS  # unrelated vectors met in one table
+
+
+
 def components(links: dict) -> dict:
     root = {}
     for i in sorted(links):
