@@ -250,6 +250,32 @@ def test_quality_counts_all_trusted(spark, monkeypatch):
     assert model.ratio == pytest.approx(np.log((own + 1) / (own.sum() + op3.BINS)) - np.log((raw + 1) / (raw.sum() + op3.BINS)))
 
 
+def test_quality_model_and_threshold_take_all_trusted(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(["one", "two", "three", f"own{i}"]) + str(rng.randrange(6)) for _ in range(15 + i % 20)), "a") for i in range(90)] + [(None, "w " * 30, "a"), (3, "repeated id " * 15, "a")]
+    lab = spark.createDataFrame([(i, int(i % 3 < 2), 0) for i in range(90)] + [(4, 1, 0)], "doc_id long, quality int, toxic int")
+    docs = table(spark, rows)
+    model = op3.model_for(docs, lab)
+    part = {r.doc_id: r.p for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(3)).alias("p")).collect()}
+
+    def bins(t):
+        x = op3.Texts(__import__("pyarrow").array([t]))
+        s, e, at = x.words()
+        return op3.bins_of(x.hashes(s, e), at)[0]
+
+    def ratio(own, raw):
+        own, raw = (sum((np.bincount(bins(t), minlength=op3.BINS) for t in some), np.zeros(op3.BINS)) for some in (own, raw))
+        return np.log((own + 1) / (own.sum() + op3.BINS)) - np.log((raw + 1) / (raw.sum() + op3.BINS))
+
+    raw, good = [t for _, t, _ in rows], [(i, t) for i, t, _ in rows if i is not None and i % 3 < 2]
+    assert model.ratio == pytest.approx(ratio([t for _, t in good], raw))
+    other = [ratio([t for i, t in good if part[i] != k], raw) for k in range(3)]
+    scores = [other[part[i]][bins(t)].mean() for i, t in good if len(words_of(t)) >= 20]
+    assert model.threshold == pytest.approx(np.mean(scores) - 6 * np.std(scores, ddof=1))
+    one = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    assert op3.model_for(docs, one).threshold == -np.inf  # no other trusted document to be scored by
+
+
 # 4 -------------------------------------------------------------------------------------------------
 
 
