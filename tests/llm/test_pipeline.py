@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -12,6 +13,7 @@ from tabulon.llm.op2_line_dedup import dedup_lines
 from tabulon.llm.op3_quality import judge, model_for
 from tabulon.llm.op4_mixing import mix_copies
 from tabulon.llm.op8_jaccard_join import jaccard_components
+from tabulon.llm.textkernels import Texts
 
 SF = "/root/testdata/sf0.001"
 
@@ -67,3 +69,14 @@ def test_mixing_takes_the_words_it_counts(spark):
     for r in corpus_pipeline.mixing(spark, docs, SF).collect():
         got[r.doc_id, r.source, len((r.text or "").split())] += 1
     assert got == +taken
+
+
+def test_quality_counts_every_trusted_document(spark, tmp_path, monkeypatch):
+    good = [f"own{i} " * 25 for i in range(30)]
+    rows = [(i, t, "a") for i, t in enumerate(good)] + [(30 + i, f"other{i} " * 25, "a") for i in range(30)]
+    spark.createDataFrame([(i, int(i < 30), 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    monkeypatch.setattr(corpus_pipeline, "keep_good", lambda docs, model: model)
+    model = corpus_pipeline.quality(spark, table(spark, rows), str(tmp_path))
+    t = Texts(pa.array(good))
+    start, end, first = t.words()
+    assert (model.scores(t.hashes(start, end), first) > 0).all()  # a document left out of the counts scores below 0
