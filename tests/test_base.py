@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tabulon.functions import arrays as a
 from tabulon.functions import dates as d
 from tabulon.functions import elementwise as m
+from tabulon.functions import special as sp
 from tabulon.functions import strings as s
 from tabulon.operators import grouping as g
 from tabulon.operators import linalg as la
@@ -103,6 +104,22 @@ def test_grpstats_ci(spark):
     assert (lo, hi) == pytest.approx((2.5 - half, 2.5 + half), abs=1e-5)
 
 
+def test_tinv(spark, monkeypatch):
+    assert [sp.tinv_(p, 5) for p in (0.0, 0.5, 1.0)] == [-math.inf, 0, math.inf]
+    assert all(math.isnan(sp.tinv_(p, nu)) for p, nu in ((NAN, 5), (-0.1, 5), (1.1, 5), (0.2, 0), (0.2, NAN)))
+    assert sp.tinv_(0.975, math.inf) == pytest.approx(1.959963984540054, rel=1e-12)
+    for nu in (0.3, 1, 2.5, 10, 1e4):
+        for p in (1e-12, 0.01, 0.2, 0.3, 0.4999):
+            assert sp.tcdf_(sp.tinv_(p, nu), nu) == pytest.approx(p, rel=1e-7)
+    p = 1 - 2.0**-40  # exact, and so is its distance to 1
+    assert sp.tinv_(p, 1) == pytest.approx(1 / math.tan(math.pi * 2.0**-40), rel=1e-11)
+    # Many different numbers are solved at once, without the distribution function of each.
+    monkeypatch.setattr(sp, "tcdf_", None)
+    df = spark.range(1, 30_000).select((F.col("id") / 30_000).alias("p"))
+    got = df.select("p", sp.tinv("p", 2).alias("t")).collect()
+    assert len(got) == 29_999 and all(r.t == pytest.approx((2 * r.p - 1) / math.sqrt(2 * r.p * (1 - r.p)), rel=1e-9, abs=1e-11) for r in got)
+
+
 def test_confusion_regress_kmeans(spark):
     c = spark.createDataFrame([(1.0, 1.0), (1.0, 2.0), (2.0, 2.0), (2.0, 1.0), (NAN, 1.0)], "a double, b double")
     assert [r["count"] for r in ss.confusionmat(c, "a", "b", [2.0, 1.0]).collect()] == [1, 1, 1, 1]
