@@ -353,7 +353,8 @@ def pack_pieces(pieces: DataFrame, room: int = ROOM) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), pa.array(s), pa.array(o)], [*own, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    return p.select(*own, "rank").mapInArrow(place, schema)
+    # Shuffle partitions of a few rows go together: a task and a file for each CHUNK rows or so.
+    return p.select(*own, "rank").coalesce(max(1, -(-sum(hist.values()) // CHUNK))).mapInArrow(place, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, room: int = ROOM, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

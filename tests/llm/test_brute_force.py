@@ -480,6 +480,19 @@ def test_packing(spark):
     assert op6.pack_documents(table(spark, rows).limit(0), path, room).collect() == []
 
 
+def test_packing_makes_no_tiny_files(spark):
+    pieces = spark.createDataFrame([(i, 0, 1 + i % 50) for i in range(5000)], "doc_id long, piece int, length long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        out = op6.pack_pieces(pieces, 64)
+        assert out.withColumn("p", F.spark_partition_id()).select("p").distinct().count() == -(-5000 // op6.CHUNK)
+        assert out.count() == 5000 and out.select("sequence_id", "offset").distinct().count() == 5000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_nnls_and_plan():
     rng = np.random.default_rng(0)
     a = rng.random((12, 30))
