@@ -117,14 +117,10 @@ def _ratio(own: np.ndarray, raw: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, trusted: list[int] | None = None, id_col: str = "doc_id", text_col: str = "text", spread: float = SPREAD, labelled: DataFrame | None = None) -> Model:
     """Counts the raw multinomial over all documents and the trusted one over all those of `labelled` (distinct ids; else the list).
 
-    All trusted documents set the threshold, each scored by the multinomial of the parts it is not in.  Only a
-    list beside `labelled` bounds them: every HELD_OUT-th of it sets the threshold and is not counted.
+    All trusted documents set the threshold, each scored by the multinomial of the parts it is not in.
     Without trusted documents every ratio is 0 and nothing falls below.
     """
     spark = docs.sparkSession
-    bounded = trusted is not None and labelled is not None
-    held = sorted(trusted[::HELD_OUT]) if bounded else []
-    part = F.when(F.col("doc_id").isin(held), 0).otherwise(1) if bounded else F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(HELD_OUT * BINS, np.int64)
@@ -147,16 +143,16 @@ def fit(docs: DataFrame, trusted: list[int] | None = None, id_col: str = "doc_id
         return out
 
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    d = d.withColumn("part", part.cast("long"))
+    d = d.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)).cast("long"))
     ids = labelled if labelled is not None else spark.createDataFrame([(int(i),) for i in set(trusted or ())], "doc_id long")
     # Labels grow with the documents, so they are joined and not sent to the tasks.
     own = counted(d.join(ids.hint("merge"), "doc_id", "left_semi"))
     raw = counted(d).sum(axis=0)
     if not own.sum():
         return Model(np.zeros(BINS), -np.inf)
-    model = Model(_ratio(own.sum(axis=0) - (own[0] if bounded else 0), raw), -np.inf)
+    model = Model(_ratio(own.sum(axis=0), raw), -np.inf)
     others = [own.sum(axis=0) - own[k] for k in range(HELD_OUT)]
-    scored = np.array([o.sum() > 0 and not (bounded and k) for k, o in enumerate(others)])  # a part that holds all has no others
+    scored = np.array([o.sum() > 0 for o in others])  # a part that holds all has no others
     ratios = np.array([_ratio(o, raw) for o in others])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,12 +210,22 @@ def keep_good(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
     return docs.withColumn(text_col, F.coalesce(text_col, F.lit(""))).mapInArrow(run, docs.schema)
 
 
+def fit_apart(docs: DataFrame, labels: DataFrame, held: list[int]) -> Model:
+    """A model to try the method with, of no query: ids of `held` are not counted as trusted, and they alone set the threshold."""
+    model = fit(docs, labelled=trusted_labels(labels).filter(~F.col("doc_id").isin(held)))
+    x = judge(docs.filter(F.col("doc_id").isin(held)), model).filter(F.col("n_words") >= LEAST_WORDS)
+    s = x.agg(F.avg("score").alias("m"), F.stddev_samp("score").alias("s")).first()
+    model.threshold = -np.inf if s.m is None else s.m - SPREAD * (s.s or 0.0)
+    return model
+
+
 def model_for(docs: DataFrame, labels: DataFrame) -> Model:
-    """All documents labelled good are counted as trusted and set the threshold, unless `trusted_ids` was given a bound as its default."""
-    bound = trusted_ids.__defaults__[0]
-    return fit(docs, None if bound is None else trusted_ids(labels), labelled=trusted_labels(labels))
+    """The queries' model, of all documents labelled good; only where `trusted_ids` was given a bound as its default, every HELD_OUT-th of its ids is held apart."""
+    if trusted_ids.__defaults__[0] is None:
+        return fit(docs, labelled=trusted_labels(labels))
+    return fit_apart(docs, labels, trusted_ids(labels)[::HELD_OUT])
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return judge(docs, model_for(docs, labels))
+    return judge(docs, fit(docs, labelled=trusted_labels(labels)))

@@ -10,7 +10,7 @@ import pytest
 
 import corpus_pipeline
 from tabulon.llm.op2_line_dedup import dedup_lines
-from tabulon.llm.op3_quality import judge, model_for
+from tabulon.llm.op3_quality import judge, model_for, trusted_ids
 from tabulon.llm.op4_mixing import mix_copies
 from tabulon.llm.op8_jaccard_join import jaccard_components
 from tabulon.llm.textkernels import Texts
@@ -80,3 +80,14 @@ def test_quality_counts_every_trusted_document(spark, tmp_path, monkeypatch):
     t = Texts(pa.array(good))
     start, end, first = t.words()
     assert (model.scores(t.hashes(start, end), first) > 0).all()  # a document left out of the counts scores below 0
+
+
+def test_quality_takes_no_bounded_list_of_trusted_documents(spark, tmp_path, monkeypatch):
+    rows = [(i, f"own{i} other{i % 7} " * (8 + i % 9), "a") for i in range(60)]
+    spark.createDataFrame([(i, int(i < 40), 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = table(spark, rows).cache()
+    want = model_for(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    monkeypatch.setattr(trusted_ids, "__defaults__", (6,))
+    monkeypatch.setattr(corpus_pipeline, "keep_good", lambda docs, model: model)
+    got = corpus_pipeline.quality(spark, docs, str(tmp_path))
+    assert (got.ratio == want.ratio).all() and got.threshold == pytest.approx(want.threshold)
